@@ -31,11 +31,12 @@ def _width(window: float) -> int:
 def _bucketed(df: DataFrame, window: float, key: str | Column, ts: str) -> DataFrame:
     """Add the shuffle key (a hash: whole lines would travel through every
     sort), the time in microseconds and the start of its bucket."""
+    width = _width(window)
     column = F.col(key) if isinstance(key, str) else key
     at = micros(F.col(ts), df.schema[ts].dataType.simpleString())
     return df.withColumns(
         {"_key": F.coalesce(F.sha2(column.cast("string"), 256), F.lit("")), "_at": at}
-    ).withColumn("_bucket", F.col("_at") - F.pmod("_at", F.lit(_width(window))))
+    ).withColumn("_bucket", F.col("_at") - F.pmod("_at", F.lit(width)))
 
 
 def _bucket_ends(bucketed: DataFrame, width: int) -> DataFrame:

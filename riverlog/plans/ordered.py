@@ -223,10 +223,10 @@ def with_running(
     cut = with_chunks(df, by, order, plan)
     keys = [*by, _CHUNK]
     inside = Window.partitionBy(*keys).orderBy(*sort)
-    local_names = {item: f"_local_{position}" for position, item in enumerate(items)}
-    carry_names = {item: f"_carry_{position}" for position, item in enumerate(items)}
+    local_names = {item.name: f"_local_{position}" for position, item in enumerate(items)}
+    carry_names = {item.name: f"_carry_{position}" for position, item in enumerate(items)}
     local = cut.withColumns(
-        {local_names[item]: _local(item, inside) for item in items}
+        {local_names[item.name]: _local(item, inside) for item in items}
         | {"_first": F.row_number().over(inside) == 1}
     )
 
@@ -234,14 +234,14 @@ def with_running(
     sums = (
         cut.where(F.col(_CHUNK).isNotNull())
         .groupBy(*keys)
-        .agg(*[_summary(item, at).alias(carry_names[item]) for item in items])
+        .agg(*[_summary(item, at).alias(carry_names[item.name]) for item in items])
     )
     chunks = Window.partitionBy(*by).orderBy(_CHUNK)
     before = chunks.rowsBetween(Window.unboundedPreceding, -1)
     carries = sums.select(
         *[F.col(name).alias(f"_key_{position}") for position, name in enumerate(keys)],
         *[
-            _carry(item, F.col(carry_names[item]), before, chunks).alias(carry_names[item])
+            _carry(item, F.col(carry_names[item.name]), before, chunks).alias(carry_names[item.name])
             for item in items
         ],
     )
@@ -256,7 +256,7 @@ def with_running(
     return joined.select(
         *[F.col(name) for name in df.columns],
         *[
-            _combine(item, F.col(local_names[item]), F.col(carry_names[item]), F.col("_first")).alias(
+            _combine(item, F.col(local_names[item.name]), F.col(carry_names[item.name]), F.col("_first")).alias(
                 item.name
             )
             for item in items
