@@ -55,4 +55,4 @@ def keep_latest(
     newest = Window.partitionBy(*keys).orderBy(*newest_first)
     kept = df.withColumn("_newest", F.row_number().over(newest)).where(F.col("_newest") <= capacity)
     size = F.max("_newest").over(Window.partitionBy(*keys))
-    return kept.withColumn("buffer_pos", size - F.col("_newest") + 1).drop("_newest", "_period")
+    return kept.withColumn("buffer_pos", (size - F.col("_newest") + 1).cast("bigint")).drop("_newest", "_period")
