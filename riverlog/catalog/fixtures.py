@@ -22,7 +22,12 @@ NOW = "2024-01-01T00:00:00Z"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table, on all cores.  A scan with fewer splits than cores (one
+    small file) is spread out before the CPU-bound work on its rows; a scan of
+    many splits is left alone, so nothing is shuffled at scale."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def now() -> Column:

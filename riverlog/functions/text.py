@@ -24,12 +24,8 @@ def truncate_bytes(text: Column, max_bytes: int) -> Column:
 
 def entry_json() -> Column:
     """The entry as one JSON object; ``raw`` is left out, so are empty fields."""
-    ordered = F.map_from_entries(
-        F.array_sort(
-            F.map_entries(FIELDS),
-            lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
-        )
-    )
+    names = F.array_sort(F.map_keys(FIELDS))
+    ordered = F.map_from_arrays(names, F.transform(names, lambda name: F.col(FIELDS).getItem(name)))
     return F.to_json(
         F.struct(
             rfc3339(F.col("timestamp")).alias("timestamp"),

@@ -25,18 +25,25 @@ def rfc3339(ts: Column, zone: str = "UTC") -> Column:
     utc = utc_wall_clock(ts)
     if zone == "UTC":
         return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
-    minutes = F.timestamp_diff("MINUTE", utc, local)
-    size = F.abs(minutes)
-    offset = F.when(minutes == 0, "Z").otherwise(
-        F.concat(
-            F.when(minutes < 0, "-").otherwise("+"),
-            F.lpad(F.floor(size / 60).cast("string"), 2, "0"),
-            F.lit(":"),
-            F.lpad((size % 60).cast("string"), 2, "0"),
-        )
+    # One-item arrays bind the local time and its offset, so that the costly
+    # conversion runs once per row and not once per mention.
+    local = F.array(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
+    timed = F.transform(
+        local,
+        lambda time: F.struct(
+            F.replace(time.cast("string"), F.lit(" "), F.lit("T")).alias("text"),
+            F.timestamp_diff("MINUTE", utc, time).alias("minutes"),
+        ),
     )
-    return F.concat(F.replace(local.cast("string"), F.lit(" "), F.lit("T")), offset)
+    return F.transform(timed, lambda item: F.concat(item["text"], _offset(item["minutes"])))[0]
+
+
+def _offset(minutes: Column) -> Column:
+    size = F.abs(minutes)
+    hours = F.lpad(F.floor(size / 60).cast("string"), 2, "0")
+    rest = F.lpad((size % 60).cast("string"), 2, "0")
+    signed = F.concat(F.when(minutes < 0, "-").otherwise("+"), hours, F.lit(":"), rest)
+    return F.when(minutes == 0, "Z").otherwise(signed)
 
 
 def watermark_text(ts: Column) -> Column:

@@ -57,20 +57,28 @@ def _last_key_wins(parsed: Column) -> Column:
 
 
 def _with_document(df: DataFrame, value_col: str) -> DataFrame:
-    """Add ``_doc``: the line's map of values, NULL when the line is malformed.
+    """Add ``_doc``, the line's map of values, and ``_rest``, the part of it that
+    feeds no attribute; both NULL when the line is malformed.
 
-    The parse sits inside a generator on purpose: predicates on its output are
-    not pushed below it, so a line is decoded once however the result is used.
+    Both come out of a generator on purpose: predicates on its output are not
+    pushed below it, so a line is decoded once however the result is used, and
+    whatever an operator looks up in the fields is a plain column read.
     """
+    consumed = [*TIMESTAMP_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS]
     whole_object = F.filter(
         F.array(_strict(F.col(value_col), "map<string,variant>")),
         lambda items: (F.size(items) == 2) & F.map_contains_key(items[1], _SENTINEL),
     )
-    parsed = df.select("*", F.explode_outer(whole_object).alias("_items"))
-    document = F.when(
-        F.col("_items").isNotNull(), _last_key_wins(F.coalesce(F.col("_items")[0], empty_fields()))
+    documents = F.transform(
+        whole_object, lambda items: _last_key_wins(F.coalesce(items[0], empty_fields()))
+    )
+    parts = F.transform(
+        documents,
+        lambda doc: F.struct(
+            doc.alias("_doc"), F.map_filter(doc, lambda key, _: ~key.isin(*consumed)).alias("_rest")
+        ),
     )
-    return parsed.withColumn("_doc", document).drop("_items")
+    return df.select("*", F.inline_outer(parts))
 
 
 def _first_string(keys: Sequence[str]) -> Column:
@@ -112,16 +120,14 @@ def parse_logs(
     good = F.col("_doc").isNotNull()
     if not raw:
         documents = documents.where(good)
-    consumed = [*TIMESTAMP_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS]
     message = F.coalesce(_first_string(MESSAGE_KEYS), F.lit(""))
-    rest = F.map_filter("_doc", lambda key, _: ~key.isin(*consumed))
     passthrough = [name for name in df.columns if name not in (value_col, "source")]
     return documents.select(
         _event_time(stamp).alias("timestamp"),
         F.coalesce(_first_string(LEVEL_KEYS), F.lit("")).alias("level"),
         (F.when(good, message).otherwise(line) if raw else message).alias("message"),
         label.alias("source"),
-        F.coalesce(rest, empty_fields()).alias(FIELDS),
+        (F.coalesce("_rest", empty_fields()) if raw else F.col("_rest")).alias(FIELDS),
         line.alias(RAW),
         *passthrough,
     )
@@ -130,7 +136,7 @@ def parse_logs(
 def malformed_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
     """The lines :func:`parse_logs` drops, with ``raw`` and a ``reason``."""
     line = F.col(value_col)
-    documents = _with_document(df, value_col).where(F.col("_doc").isNull())
+    documents = _with_document(df, value_col).where(F.col("_doc").isNull()).drop("_rest")
     single_value = F.size(_strict(line, "variant")) == 2
     reason = (
         F.when(F.coalesce(line, F.lit("")) == "", EMPTY_LINE)
