@@ -6,7 +6,7 @@ close by size and ticks on otherwise, also while nothing arrives.
 
 By size alone a batch is arithmetic on the row number.  With the clock it is a
 true left-to-right fold whose state is ``(deadline, held)``: the next tick and
-the entries in the open batch.  Keys of ordinary size are folded one group each.
+the entries in the open batch.  Keys of ordinary size are folded in sorted runs.
 A hot key is cut into chunks that are folded in parallel from guessed states;
 chunks whose guess differs from what the chunk before left are folded again
 until all agree, which makes the result the sequential one whatever the guesses.
@@ -14,10 +14,10 @@ until all agree, which makes the result the sequential one whatever the guesses.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,23 +112,68 @@ def _number_rows(
         [cut.schema[name] for name in place] + [T.StructField("batch_id", T.LongType())]
     )
 
-    def number(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order), kind="stable")
-        times = group["_at"].to_numpy(dtype=np.int64)
-        numbers, _, _, _ = fold_batches(times, max_size, step, _first_deadline(group, times, step), int(group["_held"].iloc[0]))
-        out = group[place].copy()
-        out["batch_id"] = numbers + int(group["_offset"].iloc[0]) + 1
-        return out
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = _Fold(max_size, step)
+        for batch in batches:
+            numbers = pa.array(fold.feed(batch), pa.int64())
+            kept = [batch.column(name) for name in place]
+            yield pa.RecordBatch.from_arrays([*kept, numbers], names=[*place, "batch_id"])
+
+    return _in_order(cut, [*by, "_chunk"], order).mapInArrow(number, schema)
+
+
+def _in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a group together and sorted, the first of each group marked.  The
+    window leaves every partition in this order, so a group is folded as a run
+    of Arrow batches and never held whole in Python."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_first", F.row_number().over(window) == 1)
+
+
+class _Fold:
+    """Folds runs of sorted rows; groups may span Arrow batches."""
+
+    def __init__(self, max_size: int, step: int):
+        self.max_size = max_size
+        self.step = step
+        self.deadline = self.held = self.base = self.closes = 0
 
-    return cut.groupBy(*by, "_chunk").applyInPandas(number, schema)
+    def begin(self, batch: pa.RecordBatch, at: int, time: int) -> None:
+        def value(name: str) -> int | None:
+            return batch.column(name)[at].as_py()
 
+        deadline, begin = value("_deadline"), value("_begin")
+        if deadline is None:
+            deadline = (time if begin is None else begin) + self.step
+        self.deadline, self.held = deadline, value("_held")
+        self.base, self.closes = value("_offset") + 1, 0
 
-def _first_deadline(group: pd.DataFrame, times: np.ndarray, step: int) -> int:
-    for name in ("_deadline", "_begin"):
-        value = group[name].iloc[0]
-        if pd.notna(value):
-            return int(value) + (step if name == "_begin" else 0)
-    return int(times[0]) + step
+    def segments(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, bool]]:
+        first = batch.column("_first").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(first).tolist()
+        if not starts or starts[0] > 0:
+            starts = [0, *starts]
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield start, end, bool(first[start])
+
+    def feed(self, batch: pa.RecordBatch) -> np.ndarray:
+        times = batch.column("_at").to_numpy()
+        out = np.empty(batch.num_rows, dtype=np.int64)
+        for start, end, is_first in self.segments(batch):
+            if start == end:
+                continue
+            if is_first:
+                self.begin(batch, start, int(times[start]))
+            out[start:end] = self.advance(times[start:end])
+        return out
+
+    def advance(self, times: np.ndarray) -> np.ndarray:
+        numbers, closes, self.deadline, self.held = fold_batches(
+            times, self.max_size, self.step, self.deadline, self.held
+        )
+        numbers += self.base + self.closes
+        self.closes += closes
+        return numbers
 
 
 def _with_states(cut: DataFrame, by: Sequence[str], max_size: int, step: int) -> DataFrame:
@@ -174,18 +219,37 @@ def _with_states(cut: DataFrame, by: Sequence[str], max_size: int, step: int) ->
             for name in ("_deadline", "_held", "_closes", "_deadline_out", "_held_out")
         ]
     )
+    given = [*keys, "_head", "_deadline", "_held"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(group["_at"].to_numpy(dtype=np.int64))
-        head = group.iloc[[0]][[*keys, "_first", "_deadline", "_held"]].copy()
-        _, closes, deadline, held = fold_batches(
-            times, max_size, step, int(head["_deadline"].iloc[0]), int(head["_held"].iloc[0])
-        )
-        return head.assign(_closes=closes, _deadline_out=deadline, _held_out=held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per chunk: the state it started from and the one it left."""
+        fold = _Fold(max_size, step)
+        head: pa.RecordBatch | None = None
+
+        def finished() -> pa.RecordBatch:
+            left = [fold.closes, fold.deadline, fold.held]
+            columns = [head.column(name) for name in given]
+            columns += [pa.array([value], pa.int64()) for value in left]
+            return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+        for batch in batches:
+            times = batch.column("_at").to_numpy()
+            for start, end, is_first in fold.segments(batch):
+                if start == end:
+                    continue
+                if is_first:
+                    if head is not None:
+                        yield finished()
+                    head = batch.slice(start, 1)
+                    fold.begin(batch, start, int(times[start]))
+                fold.advance(times[start:end])
+        if head is not None:
+            yield finished()
 
     def fold(states: DataFrame) -> DataFrame:
-        matched = _match(hot, states, keys)
-        return matched.groupBy(*keys).applyInPandas(run, schema)
+        rows = _match(hot, states.withColumnRenamed("_first", "_head"), keys)
+        rows = rows.withColumn("_offset", F.lit(0).cast("bigint"))
+        return _in_order(rows, keys, ["_at"]).mapInArrow(run, schema)
 
     done = fold(guesses).checkpoint()
     while True:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from riverlog.functions.timestamps import micros
 from riverlog.model import require
 from riverlog.plans.ordered import CHUNK_ROWS, RunningSum, with_running
+from riverlog.plans.storage import ensure_checkpoint_dir
 
 
 def _width(window: float) -> int:
@@ -85,11 +86,20 @@ def dedup_bursts(
     over those rows only.
     """
     width = _width(window)
-    bucketed = _bucketed(df, window, key, ts)
-    buckets = bucketed.groupBy("_key", "_bucket").agg(
-        F.min("_at").alias("_at"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n")
+    ensure_checkpoint_dir(df.sparkSession)
+    # Written down once: measuring, linking and chaining all start from these
+    # few rows instead of from the lines.
+    buckets = (
+        _bucketed(df, window, key, ts)
+        .groupBy("_key", "_bucket")
+        .agg(F.min("_at").alias("_at"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        .checkpoint()
+    )
+    ends = buckets.select(
+        F.col("_key").alias("_end_key"),
+        (F.col("_bucket") + width).alias("_end_bucket"),
+        F.col("_last").alias("_before"),
     )
-    ends = _bucket_ends(bucketed, width)
     linked = buckets.join(
         ends,
         (buckets["_key"] == ends["_end_key"]) & (buckets["_bucket"] == ends["_end_bucket"]),
