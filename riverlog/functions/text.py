@@ -25,7 +25,7 @@ def truncate_bytes(text: Column, max_bytes: int) -> Column:
 def entry_json() -> Column:
     """The entry as one JSON object; ``raw`` is left out, so are empty fields."""
     names = F.array_sort(F.map_keys(FIELDS))
-    ordered = F.map_from_arrays(names, F.transform(names, lambda name: F.col(FIELDS).getItem(name)))
+    ordered = F.map_from_arrays(names, F.transform(names, lambda name: F.col(FIELDS)[name]))
     return F.to_json(
         F.struct(
             rfc3339(F.col("timestamp")).alias("timestamp"),

@@ -134,14 +134,16 @@ def multiline_stream(
     by: Sequence[str] = ("source",),
     order: Sequence[str] = ("timestamp",),
     ts: str = "timestamp",
-    flush_after: float = 5.0,
+    flush_after: float | None = None,
     watermark: str | None = None,
 ) -> DataFrame:
     """Streaming form of ``coalesce_multiline``.  The open record of a source is
     emitted when the next one starts, or after ``flush_after`` seconds of
-    silence (of event time with a watermark, of processing time without)."""
+    silence if given: of event time with a watermark, of processing time without.
+    A processing-time timer keeps a query running, so an ``availableNow`` query
+    should use a watermark or no timer."""
     check_multiline(field, prefixes)
-    silence = round(flush_after * 1000)
+    silence = None if flush_after is None else round(flush_after * 1000)
     text = line_text(field)
     # Of an open record only its first row, as JSON text, and its lines are kept.
     lines = _at(df, ts).select(
@@ -167,7 +169,7 @@ def multiline_stream(
                 closed.append((head, "\n".join(body)))
             head, body = row, [value]
         out = pd.DataFrame(closed, columns=["_row", "_joined"])
-        expiry = int(rows["_at"].iloc[-1]) // 1000 + silence
+        expiry = None if silence is None else int(rows["_at"].iloc[-1]) // 1000 + silence
         return out, (head, body), expiry
 
     def on_timeout(old: tuple) -> pd.DataFrame:
