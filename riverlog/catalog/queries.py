@@ -58,7 +58,7 @@ def scan_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with byte positions; every line must start where one ended."""
     path = scratch_path(spark, "positions")
     X.short_lines(spark, sf_dir).select("value").write.text(path)
-    lines = read_logs(spark, f"{path.removeprefix('file:')}/*.txt", with_position=True)
+    lines = read_logs(spark, f"{path}/*.txt", with_position=True)
     size = F.octet_length("value") + 1
     per_file = lines.groupBy("file").agg(
         F.sum(size).alias("bytes"), F.max(F.col("pos") + size).alias("end"), F.count(F.lit(1)).alias("n")
@@ -73,7 +73,7 @@ def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tail")
     out = scratch_path(spark, "tail-out")
     X.short_lines(spark, sf_dir).select("value").write.text(path)
-    lines = tail_logs(spark, f"{path.removeprefix('file:')}/*.txt", "events", start="earliest")
+    lines = tail_logs(spark, f"{path}/*.txt", "events", start="earliest")
     query = (
         parse_logs(lines, now=X.now())
         .select("source", _number("event_id"), "level", _at())

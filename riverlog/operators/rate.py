@@ -44,7 +44,9 @@ def shape_rate(
     check_rate(rate, burst)
     at = micros(F.col(ts), df.schema[ts].dataType.simpleString())
     chunking = measure(df, by, order, chunk_rows)
-    ranked = with_running(df.withColumn("_at", at), by, order, [RowNumber("_i")], chunking=chunking)
+    ranked = with_running(
+        df.withColumn("_at", at), by, order, [RowNumber("_i")], chunking=chunking, keep_chunks=True
+    )
     if rate == 0 or burst == 0:
         released = F.when((F.col("_i") <= burst), F.col("_at"))
     else:
@@ -58,7 +60,7 @@ def shape_rate(
     return (
         ranked.withColumn("release_at", released)
         .withColumn("delay", F.col("release_at") - F.col("_at"))
-        .drop("_at", "_i", "_slack")
+        .select(*df.columns, "release_at", "delay")
     )
 
 

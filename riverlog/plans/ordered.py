@@ -35,6 +35,7 @@ MAX_BORDERS = 8192
 MAX_HOT_KEYS = 50_000
 
 _CHUNK = "_chunk"
+_KEY = "_key_of_chunk"
 
 
 @dataclass(frozen=True)
@@ -207,11 +208,13 @@ def with_running(
     items: Sequence[Running],
     chunk_rows: int | None = CHUNK_ROWS,
     chunking: Chunking | None = None,
+    keep_chunks: bool = False,
 ) -> DataFrame:
     """Add one column per item, computed over ``by`` in ascending ``order``.
 
     ``order`` must be total within a key; its first column must be a timestamp
-    or a whole number.
+    or a whole number.  With ``keep_chunks`` the result keeps its cut, and the
+    next call on it, for the same keys and order, needs no new shuffle of rows.
     """
     require(len(order) > 0, "an arrival order needs at least one column")
     plan = measure(df, by, order, chunk_rows) if chunking is None else chunking
@@ -220,8 +223,15 @@ def with_running(
         window = Window.partitionBy(*by).orderBy(*sort)
         return df.withColumns({item.name: _local(item, window) for item in items})
 
-    cut = with_chunks(df, by, order, plan)
-    keys = [*by, _CHUNK]
+    if _CHUNK in df.columns:
+        cut = df
+    else:
+        # The key as one struct: never NULL itself, equal when its parts are,
+        # NULLs included, so that window and join share one partitioning.
+        cut = with_chunks(df, by, order, plan)
+        if by:
+            cut = cut.withColumn(_KEY, F.struct(*by))
+    keys = [_KEY, _CHUNK] if by else [_CHUNK]
     inside = Window.partitionBy(*keys).orderBy(*sort)
     local_names = {item.name: f"_local_{position}" for position, item in enumerate(items)}
     carry_names = {item.name: f"_carry_{position}" for position, item in enumerate(items)}
@@ -236,7 +246,7 @@ def with_running(
         .groupBy(*keys)
         .agg(*[_summary(item, at).alias(carry_names[item.name]) for item in items])
     )
-    chunks = Window.partitionBy(*by).orderBy(_CHUNK)
+    chunks = Window.partitionBy(*keys[:-1]).orderBy(_CHUNK)
     before = chunks.rowsBetween(Window.unboundedPreceding, -1)
     carries = sums.select(
         *[F.col(name).alias(f"_key_{position}") for position, name in enumerate(keys)],
@@ -245,16 +255,13 @@ def with_running(
             for item in items
         ],
     )
+    # Cold rows have a NULL chunk: they match nothing and take no carry.
     match_keys = F.lit(True)
     for position, name in enumerate(keys):
-        other = F.col(f"_key_{position}")
-        # Cold rows have no chunk and take no carry, so plain equality will do there.
-        match_keys = match_keys & (
-            (F.col(name) == other) if name == _CHUNK else F.col(name).eqNullSafe(other)
-        )
+        match_keys = match_keys & (F.col(name) == F.col(f"_key_{position}"))
     joined = local.join(carries, match_keys, "left")
     return joined.select(
-        *[F.col(name) for name in df.columns],
+        *[F.col(name) for name in cut.columns if keep_chunks or name not in (_KEY, _CHUNK)],
         *[
             _combine(item, F.col(local_names[item.name]), F.col(carry_names[item.name]), F.col("_first")).alias(
                 item.name

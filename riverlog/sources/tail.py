@@ -101,6 +101,14 @@ def _batch(path: str, values: list[str], places: list[int]) -> pa.RecordBatch:
     )
 
 
+def _mounted(path: str) -> str:
+    """A plain path; object stores have no growing files to follow."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    require("://" not in path, f"{path}: byte positions need files on a mounted file system")
+    return path
+
+
 def _expand(options: dict) -> list[str]:
     found: set[str] = set()
     for pattern in json.loads(options["paths"]):
@@ -117,7 +125,8 @@ class LineFiles(DataSource):
 
     @staticmethod
     def encode(paths: Sequence[str], start: str = "earliest", range_bytes: int = RANGE_BYTES) -> dict[str, str]:
-        return {"paths": json.dumps(list(paths)), "start": start, "rangeBytes": str(range_bytes)}
+        mounted = [_mounted(path) for path in paths]
+        return {"paths": json.dumps(mounted), "start": start, "rangeBytes": str(range_bytes)}
 
     def schema(self) -> str:
         return _SCHEMA
