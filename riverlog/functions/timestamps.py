@@ -32,7 +32,7 @@ def rfc3339(ts: Column, zone: str = "UTC") -> Column:
         local,
         lambda time: F.struct(
             F.replace(time.cast("string"), F.lit(" "), F.lit("T")).alias("text"),
-            F.timestamp_diff("MINUTE", utc, time).alias("minutes"),
+            F.floor((micros(time, "timestamp_ntz") - F.unix_micros(ts)) / 60_000_000).alias("minutes"),
         ),
     )
     return F.transform(timed, lambda item: F.concat(item["text"], _offset(item["minutes"])))[0]
@@ -54,6 +54,8 @@ def watermark_text(ts: Column) -> Column:
 def micros(ts: Column, data_type: str = "timestamp") -> Column:
     """Microseconds since the epoch of a TIMESTAMP, or of a TIMESTAMP_NTZ in UTC."""
     if data_type == "timestamp_ntz":
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, ts)
+        # By parts: a difference of wall clocks would pass through the session zone.
+        seconds = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+        minutes = F.hour(ts).cast("bigint") * 60 + F.minute(ts)
+        return F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000 + minutes * 60_000_000 + seconds
     return F.unix_micros(ts)
