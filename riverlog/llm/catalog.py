@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riverlog.llm import mixing, quality_rules, substring_dedup
+from riverlog.llm import mixing, near_dedup, pieces, quality_rules, substring_dedup
 from riverlog.llm.tables import read
 
 
+def piece_model() -> str:
+    """The vocabulary file; PIECE_MODEL overrides the public one."""
+    path = os.environ.get("PIECE_MODEL")
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return path
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link_components(read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -24,14 +39,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.selectExpr("doc_id", *quality_rules.MEASURES, "NOT base_kept AS base_failed", "kept", "fail_bits")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents"), piece_model())
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return substring_dedup.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op8_pieces": op8_pieces,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
