@@ -248,7 +248,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
     hubs = salted.select("hub", "salt").distinct().select("hub", "salt", F.col("hub").alias("doc_id"), F.lit(0).alias("role"))
     return (
-        texts.join(salted.union(hubs), "doc_id")
+        texts.hint("merge")
+        .join(salted.union(hubs), "doc_id")
         .select("hub", "salt", "role", "doc_id", "text")
         .repartition("hub", "salt")
         .sortWithinPartitions("hub", "salt", "role")
