@@ -6,9 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riverlog.llm import mixing, near_dedup, pieces, quality_rules, substring_dedup
-from riverlog.llm.tables import read
+from riverlog.llm import fingerprints, mixing, near_dedup, pieces, quality_rules, substring_dedup
+from riverlog.llm.tables import read, written
 
 
 def piece_model() -> str:
@@ -25,6 +26,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_components(read(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document whose id is divisible by 20, ``n_near`` is the number of
+    documents within the radius of its fingerprint, itself included."""
+    rows = written(fingerprints.fingerprints(read(spark, sf_dir, "documents")), "op2-rows")
+    held = rows.groupBy(F.col("bits").alias("other")).agg(F.count("*").alias("n"))
+    near = fingerprints.neighbours(rows.where("doc_id % 20 = 0"), held.withColumnRenamed("other", "bits"))
+    near = near.join(held, "other").groupBy("bits").agg(F.sum("n").alias("near"))
+    rows = rows.withColumn("asked", F.when(F.col("doc_id") % 20 == 0, F.col("bits")))
+    near = near.withColumnRenamed("bits", "asked")
+    return rows.join(near, "asked", "left").drop("asked", "bits").withColumnRenamed("near", "n_near")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -50,6 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op8_pieces": op8_pieces,

@@ -13,10 +13,13 @@ No bucket is expanded into all its pairs at once.  First every member is
 compared with its buckets' smallest members, the hubs, and verified with the
 hub it agrees with most; so a group of near copies becomes one component by as
 many comparisons as it has members.  Then only pairs of one bucket that are in
-different components so far are looked at, in blocks of bounded size; whatever
-of these survives is verified as well.  So every candidate pair is either in one
-component anyway or was decided: components are exact up to the two stated
-probabilities.
+different components so far are looked at, in blocks of bounded size.  What may
+still be linked falls into clusters; a block of a cluster emits a spanning
+forest of its possible links, never the pairs.  The texts of a cluster are dealt
+into blocks again, pairs of different components are decided on the full sets
+there, and the links found, a forest too, complete the components.  So every
+candidate pair is either in one component anyway or was decided: components are
+exact up to the two stated probabilities.
 
 Results for odd input: null, empty and blank texts have no shingles, are linked
 with nothing and kept; a text of one to four words is one shingle, the whole
@@ -46,7 +49,8 @@ HASHES = 128
 BANDS = 32
 BATCH = 32
 MISS = 1e-6
-BLOCK = 512  # members of a bucket compared in one step, in two such blocks at most
+BLOCK = 1024  # members compared in one step, in two such blocks at most
+BLOCK_SHINGLES = 1_000_000  # shingles of a block's full sets, beyond its largest one
 HUB_TEXTS = 256  # texts verified against one copy of a hub's text
 
 _seed = np.random.default_rng(75)
@@ -162,33 +166,77 @@ def _scored_rows(least: list[int]):
     return rows
 
 
-def _block_pairs(table: pa.Table, least: list[int]) -> pa.RecordBatch:
-    node, comp, chunk = (np.asarray(table.column(n)) for n in ("node", "comp", "chunk"))
-    column = table.column("sig").combine_chunks()
-    matrix = _matrix(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
-    across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+def _agreeing(matrix: np.ndarray, row: int, others: np.ndarray, least: list[int]) -> np.ndarray:
+    """Those of ``others`` that may reach the threshold with ``row``."""
+    agree = np.zeros(len(others), dtype=np.int64)
+    for stop, most in zip(_STEPS, least, strict=True):
+        if not len(others):
+            break
+        agree = agree + (matrix[others, stop - BATCH : stop] == matrix[row, stop - BATCH : stop]).sum(axis=1)
+        keep = agree >= most
+        others, agree = others[keep], agree[keep]
+    return others
+
+
+def _forest(node: np.ndarray, label: np.ndarray, chunk: np.ndarray, linked) -> pa.RecordBatch:
+    """A spanning forest of the links between members of different labels;
+    ``linked(row, others)`` gives those of ``others`` that ``row`` links with.
+    Blocks of two chunks leave the pairs inside a chunk to that chunk's own block."""
+    label = label.copy()
+    across = len(np.unique(chunk)) > 1
     us, vs = [], []
     for row in range(len(node) - 1):
         others = np.arange(row + 1, len(node))
-        others = others[(comp[others] != comp[row]) & (node[others] != node[row])]
+        others = others[label[others] != label[row]]
         if across:
             others = others[chunk[others] != chunk[row]]
-        agree = np.zeros(len(others), dtype=np.int64)
-        for stop, most in zip(_STEPS, least, strict=True):
-            if not len(others):
-                break
-            agree = agree + (matrix[others, stop - BATCH : stop] == matrix[row, stop - BATCH : stop]).sum(axis=1)
-            keep = agree >= most
-            others, agree = others[keep], agree[keep]
-        us.append(np.full(len(others), node[row]))
-        vs.append(node[others])
-    u = np.concatenate(us) if us else np.zeros(0, np.int64)
-    v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
+        if not len(others):
+            continue
+        for other in linked(row, others):
+            if label[other] != label[row]:
+                us.append(node[row])
+                vs.append(node[other])
+                label[label == label[other]] = label[row]
+    u, v = np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
 
-def _block_rows(least: list[int]):
-    """From members sorted by block: candidates of each block, one block held at a time."""
+def _bucket_block(table: pa.Table, least: list[int]) -> pa.RecordBatch:
+    node, comp, chunk = (np.asarray(table.column(n)) for n in ("node", "comp", "chunk"))
+    column = table.column("sig").combine_chunks()
+    matrix = _matrix(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
+    return _forest(node, comp, chunk, lambda row, others: _agreeing(matrix, row, others, least))
+
+
+def _cluster_block(table: pa.Table, least: list[int]) -> pa.RecordBatch:
+    node, comp, chunk = (np.asarray(table.column(n)) for n in ("node", "comp", "chunk"))
+    sets: list[np.ndarray] = []
+    for batch in table.to_batches():
+        for part in slices(batch):
+            values, bounds = shingle_sets(part.column("text"))
+            sets.extend(values[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
+    size = np.array([len(one) for one in sets])
+    full = np.flatnonzero(size)
+    node, comp, chunk, size, sets = node[full], comp[full], chunk[full], size[full], [sets[i] for i in full]
+    if len(sets) < 2:
+        return _forest(node[:0], comp[:0], chunk[:0], None)
+    matrix = (signatures(np.concatenate(sets), np.append(0, np.cumsum(size))) & np.uint32(255)).astype(np.uint8)
+
+    def linked(row: int, others: np.ndarray) -> np.ndarray:
+        others = _agreeing(matrix, row, others, least)
+        if not len(others):
+            return others
+        own = sets[row]
+        values = np.concatenate([sets[i] for i in others])
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        both = np.add.reduceat(hit.astype(np.int64), np.append(0, np.cumsum(size[others])[:-1]))
+        return others[100 * both >= PERCENT * (size[row] + size[others] - both)]
+
+    return _forest(node, comp, chunk, linked)
+
+
+def _block_rows(name_column: str, work, least: list[int]):
+    """From members sorted by block: what ``work`` makes of each block, one held at a time."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -196,18 +244,18 @@ def _block_rows(least: list[int]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [np.asarray(batch.column(n)) for n in ("band", "i", "j")]
+            keys = [np.asarray(batch.column(n)) for n in (name_column, "i", "j")]
             change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
             bounds = [0, *change.tolist(), batch.num_rows]
             for a, b in zip(bounds, bounds[1:], strict=False):
                 key = tuple(int(k[a]) for k in keys)
                 if held and key != name:
-                    yield _block_pairs(pa.Table.from_batches(held), least)
+                    yield work(pa.Table.from_batches(held), least)
                     held = []
                 name = key
                 held.append(batch.slice(a, b - a))
         if held:
-            yield _block_pairs(pa.Table.from_batches(held), least)
+            yield work(pa.Table.from_batches(held), least)
 
     return rows
 
@@ -258,6 +306,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(members: DataFrame, name: str) -> DataFrame:
+    """Members of ``name`` with a number of ``chunks``, dealt to the blocks of each two chunks."""
+    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("chunks", "other")
+    return dealt.repartition(name, "i", "j").sortWithinPartitions(name, "i", "j")
+
+
 def link_components(docs: DataFrame, miss: float = MISS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept (doc_id = component_id)."""
     least = least_matches(PERCENT / 100, miss, _STEPS)
@@ -287,19 +343,19 @@ def link_components(docs: DataFrame, miss: float = MISS) -> DataFrame:
     rest = shared.where("n > 2").join(first, "node", "left").select("band", "node", "hub", comp.alias("comp"))
     mixed = rest.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a < b")
     rest = rest.where("node <> hub").join(mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "band")
-    rest = rest.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = (
-        rest.join(sigs, "node")
-        .select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "comp", "sig")
-        .repartition("band", "i", "j")
-        .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(_block_rows(least), "u bigint, v bigint")
-    )
+    blocks = _dealt(rest.join(sigs, "node"), "band").mapInArrow(_block_rows("band", _bucket_block, least), "u bigint, v bigint")
     late = scored.select("u", "v").join(first.toDF("u", "cu"), "u", "left").join(first.toDF("v", "cv"), "v", "left")
     late = late.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    more = written(blocks.union(late).distinct().join(best, ["u", "v"], "left_anti"), "late-pairs")
-    final = components(links.union(verified(more, texts)))
+    clusters = components(blocks.union(late).distinct()).withColumnRenamed("component", "cluster")
+    clusters = clusters.join(nodes.select("node", "n_shingles"), "node").join(first, "node", "left")
+    clusters = clusters.select("node", "cluster", "n_shingles", comp.alias("comp"))
+    sizes = clusters.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks")
+    )
+    read = texts.withColumnRenamed("doc_id", "node").hint("merge").join(clusters.join(sizes, "cluster"), "node")
+    read = _dealt(read.drop("n_shingles"), "cluster")
+    more = read.mapInArrow(_block_rows("cluster", _cluster_block, least), "u bigint, v bigint")
+    final = components(links.union(more))
 
     # a set's own node, then the component its node is in
     named_sets = nodes.select("k1", "k2", "n_shingles", "node").join(final, "node", "left")
