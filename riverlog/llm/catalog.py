@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlog.llm import fingerprints, mixing, near_dedup, pieces, quality_rules, substring_dedup
+from riverlog.llm import fingerprints, mixing, near_dedup, pieces, quality_grade, quality_rules, substring_dedup, toxicity
 from riverlog.llm.tables import read, written
 
 
@@ -52,10 +52,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.selectExpr("doc_id", *quality_rules.MEASURES, "NOT base_kept AS base_failed", "kept", "fail_bits")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"), piece_model())
 
 
+def op9_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 of low quality, 1 of good quality but toxic, 2 of good quality."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rating = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)
+    model = quality_grade.fit(docs, labels.select("doc_id", rating.alias("grade")), grades=3)
+    return quality_grade.grade(docs, model)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return substring_dedup.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -66,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
+    "op9_quality_grade": op9_quality_grade,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
