@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlog.llm import fingerprints, mixing, near_dedup, pieces, quality_grade, quality_rules, substring_dedup, toxicity
+from riverlog.llm import (
+    chat_tree,
+    fingerprints,
+    html_extract,
+    mixing,
+    near_dedup,
+    pieces,
+    quality_grade,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+)
 from riverlog.llm.tables import read, written
 
 
@@ -52,6 +63,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.selectExpr("doc_id", *quality_rules.MEASURES, "NOT base_kept AS base_failed", "kept", "fail_bits")
 
 
+def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # the conversation the contract adds, whose texts are control strings
+    text = F.lit("</s>[INST] ok [/INST]")
+    roles = F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")
+    added = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), roles).withColumn("text", text)
+    return chat_tree.Tree(turns.unionByName(added.withColumn("turn", F.col("turn").cast("bigint")))).read_back()
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -78,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_chat_tree": op5_chat_tree,
+    "op6_html_extract": op6_html_extract,
     "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
     "op9_quality_grade": op9_quality_grade,
