@@ -74,8 +74,8 @@ def _position(part: Column, begin: Column, end: Column) -> Column:
 def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_TIMES, schedules=SCHEDULES, slots: int = SLOTS) -> DataFrame:
     """All rows and columns with ``size``, ``source_size``, ``target``, ``taken``
     (words the mix takes, repeats counted), ``copies`` (``taken`` in whole
-    documents, a part of half or more counted as one) and ``position`` (0 to 1, of its
-    first copy; null if nothing is taken)."""
+    documents, a part of half or more counted as one), ``positions`` (of those copies,
+    0 to 1) and ``position`` (where the first word taken is; null if none is)."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
     place = F.xxhash64("doc_id", "source", "text", F.lit(7))
     sized = docs.withColumns({"size": word_count(F.col("text")), "_key": key, "_place": place})
@@ -96,14 +96,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, mo
         F.lit(0),
     )
     copies = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))
-    part = F.least(F.col("_start") / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
     rates = F.get(F.array(*(F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in schedules)), F.col("rank") % len(schedules))
-    placed = placed.withColumn("taken", taken.cast("bigint"))
-    placed = placed.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).cast("int"))
-    placed = placed.withColumn("position", F.when(F.col("_start") <= F.col("target"), _position(part, rates["a"], rates["b"])))
+    # the times at which each pass reaches the document, of the passes that do
+    reached = F.array(
+        *(
+            F.when((supply <= F.col("target")) & ((goal > supply) | (F.col("size") == 0)), _position(supply / F.greatest(F.col("target"), F.lit(1.0)), rates["a"], rates["b"]))
+            for supply in (F.col("_start") + F.col("source_size") * k for k in range(most))
+        )
+    )
+    placed = placed.withColumn("taken", taken.cast("bigint")).withColumn("_reached", F.filter(reached, lambda time: time.isNotNull()))
+    once = F.when(F.size("_reached") > 0, 1).otherwise(0)
+    placed = placed.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(once).cast("int"))
+    placed = placed.withColumn("positions", F.slice("_reached", F.lit(1), F.col("copies")))
+    placed = placed.withColumn("position", F.get("_reached", F.lit(0))).drop("_reached")
     return placed.drop("_key", "_place", "_slot", "_before", "_start", "rank", "weight")
 
 
+def copies_in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The mix itself: every document once per copy, dealt and sorted by position."""
+    rows = mixed.select(*columns, F.explode("positions").alias("_position"))
+    rows = rows.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id")
+    return rows.drop("_position")
+
+
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """Rows dealt by ranges of position and sorted inside them."""
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

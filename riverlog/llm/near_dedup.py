@@ -365,3 +365,10 @@ def link_components(docs: DataFrame, miss: float = MISS) -> DataFrame:
     joined = joined.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return joined.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, miss: float = MISS) -> DataFrame:
+    """All rows and columns of the documents that stay: the smallest doc_id of each
+    component, and rows without a doc_id."""
+    gone = link_components(docs, miss).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("_gone"), "left_anti")
