@@ -121,8 +121,11 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_exclaims": _count(text, "!"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
-    measured = measured.withColumns({name: column.cast("bigint") for name, column in columns.items()})
-    return measured.drop("_words", "_lines", "_hashes", "_grams", "_pairs", "_starts")
+    # through a generator no later filter is pushed down, to be evaluated apart and again
+    record = F.struct("n_words", *(column.cast("bigint").alias(name) for name, column in columns.items()))
+    names = [name for name in docs.columns if name not in ("n_words", *columns)]
+    measured = measured.select(*names, F.explode(F.array(record)).alias("_record"))
+    return measured.select(*names, "_record.*")
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
