@@ -85,6 +85,7 @@ class PieceCoder:
                 self.ids[piece] = i
                 self.scores[piece] = model.get_score(i)
                 self.output.append(piece.replace(MARK, " ").encode())
+        self._marked = {i for piece, i in self.ids.items() if piece.startswith(MARK)}
         across = any(MARK in piece.lstrip(MARK) for piece in self.ids)
         self._unit = re.compile("(?s).+") if across else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self._automaton = ahocorasick.Automaton()
@@ -162,7 +163,9 @@ class PieceCoder:
         if pending:
             out.append(_characters(bytes(pending)))
         text = b"".join(out).decode()
-        return text[1:] if first and text.startswith(" ") and ids and self.output[ids[0]] != 32 else text
+        lead = next((i for i in ids if self.output[i] is not None), None) if first else None
+        # only a piece brings the space that encoding put in front; a byte or the unknown does not
+        return text[1:] if lead in self._marked else text
 
     def _unit_texts(self, unit: str) -> tuple[str, str]:
         known = self._units.get(unit)
