@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from riverlog.functions.timestamps import watermark_text
 from riverlog.model import require
 
-MAX_BROADCAST_MARKS = 100_000
-
 
 def delivery_watermark(
     delivered: DataFrame, by: str = "source", order: Sequence[str] = ("timestamp",), ts: str = "timestamp"
@@ -27,19 +25,15 @@ def resume_after(
     marks: DataFrame,
     by: str = "source",
     ts: str = "timestamp",
-    broadcast_marks: bool = True,
 ) -> DataFrame:
     """Entries newer than their source's watermark, and all of unknown sources.
 
-    One watermark row exists per source; it is broadcast only when counted to
-    be below MAX_BROADCAST_MARKS, else Spark picks the join.
+    One watermark row exists per source; Spark picks the join by its size.
     """
     require(ts != "", "resume: the time column must be named")
     known = marks.select(
         F.col(by).alias("_mark_key"), F.col("watermark").cast("timestamp").alias("_mark")
     )
-    if broadcast_marks and known.limit(MAX_BROADCAST_MARKS + 1).count() <= MAX_BROADCAST_MARKS:
-        known = F.broadcast(known)
     joined = entries.join(known, entries[by] == known["_mark_key"], "left")
     todo = joined.where(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark")))
     return todo.select(*[F.col(name) for name in entries.columns])

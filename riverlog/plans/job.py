@@ -50,7 +50,7 @@ class SinkContext:
     """What sinks share: the arrival order, the console, the HTTP client."""
 
     order: tuple[str, ...] = ("timestamp",)
-    out: Any = print
+    out: Any = None
     client: Any = open_client
 
 
@@ -165,7 +165,7 @@ class Job:
 def build_job(
     spec: Spec,
     order: Sequence[str] = ("timestamp",),
-    out: Any = print,
+    out: Any = None,
     client: Any = open_client,
 ) -> Job:
     """Check a description and compose the job; one bad part fails the whole."""

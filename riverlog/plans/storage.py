@@ -13,13 +13,16 @@ _CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    Only where none is configured (tests, one machine) a folder is made.
+    Where none is configured a folder is made on a single machine (a ``local``
+    master); a cluster must name one, as its executors share no local folder.
     """
     configured = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
         current = spark.sparkContext.getCheckpointDir()

@@ -6,12 +6,12 @@ batch id lets a sink recognise a replayed micro-batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from riverlog.functions.text import entry_json
@@ -26,18 +26,27 @@ class Sink(Protocol):
 
 @dataclass(frozen=True)
 class ConsoleSink:
-    """Print entries as JSON lines on the driver: a look at the data, so at most
-    ``limit`` lines per write are fetched, and it says when there were more."""
+    """Print every entry as a JSON line.
 
-    limit: int = 1000
-    out: Callable[[str], object] = print
+    Without ``out`` the tasks print, each to its own standard output, so nothing
+    passes through the driver.  With ``out`` the lines come to the driver one
+    partition at a time and are given to it there.
+    """
+
+    out: Callable[[str], object] | None = None
 
     def write(self, entries: DataFrame, batch_id: int | None = None) -> None:
-        lines = to_json_lines(entries).take(self.limit + 1)
-        for row in lines[: self.limit]:
-            self.out(row["value"])
-        if len(lines) > self.limit:
-            self.out(f"... more than {self.limit} entries; use a file sink for all of them")
+        lines = to_json_lines(entries)
+        if self.out is None:
+            lines.foreachPartition(_print_lines)
+        else:
+            for row in lines.toLocalIterator():
+                self.out(row["value"])
+
+
+def _print_lines(rows: Iterable[Row]) -> None:
+    for row in rows:
+        print(row["value"], flush=True)
 
 
 @dataclass(frozen=True)

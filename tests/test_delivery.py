@@ -83,8 +83,9 @@ def test_console(make):
     ConsoleSink(out=out.append).write(make('{"msg":"a","level":"info"}'))
     assert json.loads(out[0])["message"] == "a" and len(out) == 1
     out.clear()
-    ConsoleSink(1, out.append).write(make('{"msg":"a"}', '{"msg":"b"}'))
-    assert len(out) == 2 and "more than 1" in out[1]
+    ConsoleSink(out.append).write(make(*('{"msg":"a%d"}' % n for n in range(1500))))
+    assert sorted(json.loads(line)["message"] for line in out) == sorted(f"a{n}" for n in range(1500))
+    ConsoleSink().write(make('{"msg":"printed by a task"}'))
 
 
 def test_file_sink_appends_and_replays(spark, make, folder):
@@ -170,7 +171,7 @@ def test_watermark_and_resume(spark, make):
     assert noon.first()["watermark"] == "2024-06-01T12:00:00.000000000Z"
     assert [r["message"] for r in resume_after(df, noon).collect()] == ["c"]
     assert resume_after(df, noon.withColumn("source", F.lit("other"))).count() == 3
-    assert resume_after(df, noon, broadcast_marks=False).columns == df.columns
+    assert resume_after(df, noon).columns == df.columns
 
 
 # -- counters and health ----------------------------------------------------
