@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,7 +73,8 @@ def assign_batches(
     """Add ``batch_id``, counted from 1 per key.  ``interval`` is in seconds.
 
     ``start`` is when the clock of a key was set; default: its first entry.
-    ``order`` must be total within a key and rise with ``ts``.
+    ``order`` must rise with ``ts``; rows that tie in it are interchangeable, and
+    each keeps one batch of its own.
     """
     check_batching(max_size, interval)
     if interval is None:
@@ -98,10 +100,13 @@ def assign_batches(
     else:
         cut = _with_states(with_chunks(narrow, by, order, chunking), by, max_size, step)
     batches = _number_rows(cut, by, order, max_size, step)
-    match = F.lit(True)
+    # rows of one place are interchangeable: each takes one of the place's batch numbers
+    tied = df.withColumn("_tie", F.row_number().over(W.partitionBy(*place).orderBy(*place)))
+    batches = batches.withColumn("_tie", F.row_number().over(W.partitionBy(*place).orderBy("batch_id")))
+    match = tied["_tie"] == batches["_tie"]
     for name in place:
-        match = match & df[name].eqNullSafe(batches[name])
-    return df.join(batches, match).select(df["*"], "batch_id")
+        match = match & tied[name].eqNullSafe(batches[name])
+    return tied.join(batches, match).select(*[tied[name] for name in df.columns], batches["batch_id"])
 
 
 def _number_rows(

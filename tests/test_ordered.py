@@ -315,3 +315,10 @@ def test_transitions_and_rotation(spark, chunk_rows):
     assert sorted(got) == changes
     got = rotation_events(polls, order=order, chunk_rows=chunk_rows).select("id", "reason").collect()
     assert sorted(got) == events
+
+
+def test_batches_keep_every_row_of_a_tie(spark):
+    rows = [("a", "2024-01-01 00:00:00", n) for n in (1, 2)] + [("a", "2024-01-01 00:00:01", 3), ("a", "2024-01-01 00:01:00", 4)]
+    df = spark.createDataFrame(rows, "source string, ts string, n int").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    out = assign_batches(df, 3, by=["source"], interval=5.0, order=("timestamp",))
+    assert sorted(r["n"] for r in out.collect()) == [1, 2, 3, 4]
