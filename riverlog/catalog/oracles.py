@@ -147,10 +147,11 @@ FROM documents""",
 SELECT event_id, '' AS level, props AS source, event_type AS user_id, user_id::VARCHAR AS event_type,
        level AS severity, NULL::VARCHAR AS props FROM logs""",
     "truncate_bytes": """WITH bytes AS (SELECT doc_id, text, lang, hex(encode(text)) AS h FROM documents)
-SELECT doc_id, strlen(text) > 40 AS was_cut,
-       CASE WHEN strlen(text) <= 40 THEN text
-            WHEN substr(h, 75, 1) IN ('8', '9', 'A', 'B') THEN NULL
-            ELSE try(decode(unhex(substr(h, 1, 74)))) || '...' END AS message,
+SELECT doc_id,
+       CASE WHEN strlen(text) <= 40 THEN h
+            WHEN substr(h, 75, 1) IN ('8', '9', 'A', 'B')
+            THEN regexp_replace(substr(h, 1, 74), '[C-F].([89AB].){0,2}$', '') || 'EFBFBD2E2E2E'
+            ELSE substr(h, 1, 74) || '2E2E2E' END AS message_hex,
        lang
 FROM bytes""",
     "timestamp_text": f"""SELECT event_id, {_STAMP.format(ts="ts")} || 'Z' AS utc,
@@ -222,9 +223,12 @@ FROM (VALUES ('a'), ('b')) AS t(s)""",
        count(*) FILTER (WHERE event_type = 'error') AS failed FROM events""",
     "delivery_watermark": f"""WITH {_MARKS}
 SELECT source, strftime(mark, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS watermark FROM marks""",
-    "incremental_resume": f"""WITH {_MARKS}
-SELECT event_id, l.source FROM logs l LEFT JOIN marks m ON m.source = l.source AND m.source <> 'svc0'
-WHERE m.mark IS NULL OR l.ts > m.mark""",
+    "incremental_resume": f"""WITH {_LOGS}, placed AS (
+  SELECT event_id, source, event_id % 100 AS tick FROM logs), marks AS (
+  SELECT source, max((tick, event_id)) AS mark FROM placed
+  WHERE source <> 'svc0' AND (tick < 60 OR (tick = 60 AND event_id < 500)) GROUP BY source)
+SELECT event_id, p.source FROM placed p LEFT JOIN marks m ON m.source = p.source
+WHERE m.mark IS NULL OR (p.tick, p.event_id) > m.mark""",
     "spec_job": f"""WITH {_LOGS}, newest AS (
   SELECT event_id FROM logs WHERE level = 'warn' ORDER BY ts DESC LIMIT 20)
 SELECT 'errors' AS source, level, concat('event ', event_id) AS message FROM logs WHERE level = 'error'

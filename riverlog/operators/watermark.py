@@ -12,28 +12,28 @@ from riverlog.model import require
 
 
 def delivery_watermark(
-    delivered: DataFrame, by: str = "source", order: Sequence[str] = ("timestamp",), ts: str = "timestamp"
+    delivered: DataFrame, order: Sequence[str], by: str = "source", ts: str = "timestamp"
 ) -> DataFrame:
-    """Per source the time of the last entry in arrival order (which is not
-    always the greatest time) as fixed-width text.  Pre-aggregated per task."""
-    last = F.max_by(ts, F.struct(*order))
-    return delivered.groupBy(by).agg(watermark_text(last).alias("watermark"))
+    """Per source the ``position`` of the last entry in arrival order, and as
+    ``watermark`` its time (which is not always the greatest) as fixed-width
+    text.  Pre-aggregated per task."""
+    require(len(order) > 0, "watermark: an arrival order needs at least one column")
+    position = F.struct(*order)
+    return delivered.groupBy(by).agg(
+        watermark_text(F.max_by(ts, position)).alias("watermark"), F.max(position).alias("position")
+    )
 
 
-def resume_after(
-    entries: DataFrame,
-    marks: DataFrame,
-    by: str = "source",
-    ts: str = "timestamp",
-) -> DataFrame:
-    """Entries newer than their source's watermark, and all of unknown sources.
+def resume_after(entries: DataFrame, marks: DataFrame, order: Sequence[str], by: str = "source") -> DataFrame:
+    """Entries that arrived after their source's mark, and all of unknown sources.
 
-    One watermark row exists per source; Spark picks the join by its size.
+    Whole positions are compared, not times: an entry as old as the last one
+    delivered, or older but later to arrive, is still to do.  ``order`` must be
+    the one the marks were made with, and total within a source.  One mark
+    exists per source; Spark picks the join by its size.
     """
-    require(ts != "", "resume: the time column must be named")
-    known = marks.select(
-        F.col(by).alias("_mark_key"), F.col("watermark").cast("timestamp").alias("_mark")
-    )
-    joined = entries.join(known, entries[by] == known["_mark_key"], "left")
-    todo = joined.where(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark")))
-    return todo.select(*[F.col(name) for name in entries.columns])
+    require(len(order) > 0, "resume: an arrival order needs at least one column")
+    known = marks.select(F.col(by).alias("_mark_key"), F.col("position").alias("_mark"))
+    joined = entries.join(known, entries[by].eqNullSafe(known["_mark_key"]), "left")
+    todo = joined.where(F.col("_mark").isNull() | (F.struct(*[entries[name] for name in order]) > F.col("_mark")))
+    return todo.select(*[entries[name] for name in entries.columns])

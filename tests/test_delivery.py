@@ -166,12 +166,22 @@ def test_watermark_and_resume(spark, make):
     )
     first = df.where("pos < 2")
     marks = delivery_watermark(first, order=("pos",))
-    assert marks.collect() == [("test", "2024-06-01T11:00:00.000000000Z")]
-    noon = delivery_watermark(first)
+    assert marks.select("source", "watermark").collect() == [("test", "2024-06-01T11:00:00.000000000Z")]
+    noon = delivery_watermark(first, order=("timestamp",))
     assert noon.first()["watermark"] == "2024-06-01T12:00:00.000000000Z"
-    assert [r["message"] for r in resume_after(df, noon).collect()] == ["c"]
-    assert resume_after(df, noon.withColumn("source", F.lit("other"))).count() == 3
-    assert resume_after(df, noon).columns == df.columns
+    assert [r["message"] for r in resume_after(df, noon, ("timestamp",)).collect()] == ["c"]
+    assert resume_after(df, noon.withColumn("source", F.lit("other")), ("timestamp",)).count() == 3
+    assert resume_after(df, noon, ("timestamp",)).columns == df.columns
+
+
+def test_resume_loses_neither_ties_nor_late_entries(spark, make):
+    df = make(
+        '{"ts":"2024-06-01T12:00:00Z","msg":"delivered"}',
+        '{"ts":"2024-06-01T12:00:00Z","msg":"same time"}',
+        '{"ts":"2024-06-01T11:00:00Z","msg":"late"}',
+    )
+    marks = delivery_watermark(df.where("pos = 0"), ("pos",))
+    assert sorted(r["message"] for r in resume_after(df, marks, ("pos",)).collect()) == ["late", "same time"]
 
 
 # -- counters and health ----------------------------------------------------
