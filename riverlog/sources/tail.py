@@ -7,18 +7,25 @@ checkpoint.  A batch is a set of byte ranges read in parallel by the executors,
 which must see the files under the same paths (a shared mount).
 
 * Only lines ended by a line break are consumed; the rest waits.
-* A file that was replaced (other inode) or has shrunk restarts at byte 0.
+* A file that was replaced (other inode) or has shrunk restarts at byte 0; one
+  that was renamed under the pattern goes on where it was.
+* A file missing from a listing keeps its place for ``KEEP_POLLS`` polls.
+* A range is read from the inode it was planned for, also after a rename inside
+  the folder; if that file is gone the batch fails and says so.
 * ``start="latest"`` skips what is in the files when the query first starts.
 """
 
 from __future__ import annotations
 
 import glob
+import itertools
 import json
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +41,7 @@ from riverlog.model import require
 RANGE_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
+KEEP_POLLS = 100_000
 
 _SCHEMA = "value string, file string, pos bigint"
 _ARROW = pa.schema([("value", pa.string()), ("file", pa.string()), ("pos", pa.int64())])
@@ -47,10 +55,11 @@ class ByteRange(InputPartition):
     floor: int
     first: int
     end: int
+    inode: int | None = None
 
 
-def split_ranges(path: str, start: int, end: int, size: int) -> list[ByteRange]:
-    return [ByteRange(path, start, at, min(at + size, end)) for at in range(start, end, size)]
+def split_ranges(path: str, start: int, end: int, size: int, inode: int | None = None) -> list[ByteRange]:
+    return [ByteRange(path, start, at, min(at + size, end), inode) for at in range(start, end, size)]
 
 
 def last_line_end(path: str, size: int) -> int:
@@ -67,34 +76,57 @@ def last_line_end(path: str, size: int) -> int:
     return 0
 
 
+def _opened(part: ByteRange) -> BinaryIO:
+    """The file the range was planned for, wherever in its folder it is by now."""
+    if part.inode is None:
+        return open(part.path, "rb")
+    folder = os.scandir(os.path.dirname(part.path) or ".")
+    renamed = (entry.path for entry in folder if entry.inode() == part.inode)
+    for path in itertools.chain([part.path], renamed):
+        try:
+            file = open(path, "rb")
+        except OSError:
+            continue
+        if os.fstat(file.fileno()).st_ino == part.inode:
+            return file
+        file.close()
+    raise FileNotFoundError(f"{part.path}: replaced before bytes {part.first} to {part.end} were read")
+
+
+def _text(line: bytes) -> str:
+    return line.rstrip(b"\r\n").decode("utf-8", "replace")
+
+
 def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of the lines of one range."""
-    with open(part.path, "rb") as file:
+    """Arrow batches of the lines of one range, read block by block."""
+    with _opened(part) as file:
         position = part.first
         if position > part.floor:
             file.seek(position - 1)
             position += len(file.readline()) - 1
         else:
             file.seek(position)
-        values: list[str] = []
-        places: list[int] = []
-        held = 0
+        held: list[bytes] = []  # of a line whose end is not read yet
         while position < part.end:
-            line = file.readline()
-            if not line:
-                break
-            values.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
-            places.append(position)
-            position += len(line)
-            held += len(line)
-            if held >= BATCH_BYTES:
-                yield _batch(part.path, values, places)
-                values, places, held = [], [], 0
-        if values:
-            yield _batch(part.path, values, places)
-
-
-def _batch(path: str, values: list[str], places: list[int]) -> pa.RecordBatch:
+            block = file.read(BATCH_BYTES)
+            stop = block.rfind(b"\n") + 1
+            if block and stop == 0:
+                held.append(block)
+                continue
+            data = b"".join([*held, block[:stop]])
+            if not block:
+                if data:
+                    yield _batch(part.path, [_text(data)], [position])
+                return
+            ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+            starts = position + np.append(0, ends[:-1])
+            inside = int(np.searchsorted(starts, part.end))
+            yield _batch(part.path, [_text(line) for line in data.split(b"\n", inside)[:inside]], starts[:inside])
+            position += len(data)
+            held = [block[stop:]]
+
+
+def _batch(path: str, values: list[str], places: Sequence[int] | np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(values, pa.string()), pa.array([path] * len(values), pa.string()), pa.array(places, pa.int64())],
         schema=_ARROW,
@@ -160,16 +192,34 @@ class _BatchReader(DataSourceReader):
 class _TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.options = options
+        self.ends: dict[str, list[int]] = {}  # newest known, of missing files too
+        self.missed: dict[str, int] = {}  # polls in a row without the file
+        self.sizes: dict[str, tuple[int, int]] = {}
+        self.begun: dict[str, list[int]] = {}  # up to where batches were planned
 
     def _ends(self) -> dict[str, list[int]]:
         ends: dict[str, list[int]] = {}
         for path in _expand(self.options):
             try:
                 status = os.stat(path)
-                ends[path] = [status.st_ino, last_line_end(path, status.st_size)]
+                seen = (status.st_ino, status.st_size)
+                if self.sizes.get(path) != seen:
+                    ends[path] = [status.st_ino, last_line_end(path, status.st_size)]
+                    self.sizes[path] = seen
+                else:
+                    ends[path] = self.ends[path]
             except OSError:
                 continue  # vanished between listing and opening; next time
-        return ends
+        present = {inode for inode, _ in ends.values()}
+        for path, place in self.ends.items():
+            if path not in ends and place[0] not in present and self.missed.get(path, 0) < KEEP_POLLS:
+                ends[path] = place
+                self.missed[path] = self.missed.get(path, 0) + 1
+            else:
+                self.missed.pop(path, None)
+        self.sizes = {path: seen for path, seen in self.sizes.items() if path in ends}
+        self.ends = ends
+        return dict(ends)
 
     def initialOffset(self) -> dict:
         return {"files": self._ends() if self.options.get("start") == "latest" else {}}
@@ -178,12 +228,19 @@ class _TailReader(DataSourceStreamReader):
         return {"files": self._ends()}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        # after a restart only the start tells of files the first listing missed
+        self.begun.update(start["files"])
+        self.ends = start["files"] | self.ends
+        by_inode = {inode: stop for inode, stop in sorted(self.begun.values())}
         ranges: list[ByteRange] = []
         for path, (inode, stop) in end["files"].items():
-            old_inode, begin = start["files"].get(path, (inode, 0))
-            if old_inode != inode or stop < begin:
+            old_inode, begin = self.begun.get(path, (None, 0))
+            if old_inode != inode:
+                begin = by_inode.get(inode, 0)
+            if stop < begin:
                 begin = 0
-            ranges += split_ranges(path, begin, stop, _range_bytes(self.options))
+            ranges += split_ranges(path, begin, stop, _range_bytes(self.options), inode)
+        self.begun = {path: place for path, place in self.begun.items() if path in self.ends}
         return ranges
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:

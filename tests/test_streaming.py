@@ -100,6 +100,60 @@ def test_ranges_cover_every_line_once(folder, size):
     assert tail.last_line_end(path, 0) == 0
 
 
+def read_all(ranges):
+    return [line for part in ranges for batch in tail.read_range(part) for line in batch.column("value").to_pylist()]
+
+
+def polls(folder):
+    options = tail.LineFiles.encode([folder + "/*.log*"])
+    return tail._TailReader(options)
+
+
+def test_tail_keeps_the_place_of_a_file_missing_from_one_poll(folder):
+    path, reader = folder + "/a.log", polls(folder)
+    append(path, "one\n")
+    first = reader.latestOffset()
+    assert read_all(reader.partitions(reader.initialOffset(), first)) == ["one"]
+    os.rename(path, folder + "/hidden")
+    missed = reader.latestOffset()
+    assert read_all(reader.partitions(first, missed)) == []
+    os.rename(folder + "/hidden", path)
+    append(path, "two\n")
+    assert read_all(reader.partitions(missed, reader.latestOffset())) == ["two"]
+
+    again = polls(folder)  # the first poll after a restart misses it
+    os.rename(path, folder + "/hidden")
+    missed = again.latestOffset()
+    start = {"files": dict(reader.ends)}
+    assert read_all(again.partitions(start, missed)) == []
+    os.rename(folder + "/hidden", path)
+    append(path, "three\n")
+    assert read_all(again.partitions(missed, again.latestOffset())) == ["three"]
+
+
+def test_tail_goes_on_after_a_rename_under_the_pattern(folder):
+    path, reader = folder + "/a.log", polls(folder)
+    append(path, "one\n")
+    first = reader.latestOffset()
+    reader.partitions(reader.initialOffset(), first)
+    append(path, "two\n")
+    os.rename(path, path + ".1")
+    append(path, "three\n")
+    assert sorted(read_all(reader.partitions(first, reader.latestOffset()))) == ["three", "two"]
+
+
+def test_tail_reads_the_file_it_planned(folder):
+    path, reader = folder + "/a.log", polls(folder)
+    append(path, "one\n")
+    planned = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    os.rename(path, path + ".1")
+    append(path, "other\n")
+    assert read_all(planned) == ["one"]
+    os.rename(path, path + ".1")  # replaces the one that was planned
+    with pytest.raises(FileNotFoundError):
+        read_all(planned)
+
+
 # -- stateful operators: stream = batch --------------------------------------
 
 
