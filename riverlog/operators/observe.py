@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverlog.plans.ordered import CHUNK_ROWS, Previous, with_running
@@ -72,9 +72,10 @@ def stale_status(
     entries: DataFrame, limit: float, now: Column | None = None, by: str = "source", ts: str = "timestamp"
 ) -> DataFrame:
     """Status rows for :func:`health_report`: a source is healthy while its last
-    entry is at most ``limit`` seconds old at ``now`` (default: the newest entry)."""
+    entry is at most ``limit`` seconds old at ``now`` (default: the newest entry).
+    The newest entry is found among one row per source, so the entries are read once."""
     last = entries.groupBy(by).agg(F.max(ts).alias("_last"))
-    reference = entries.agg(F.max(ts)).scalar() if now is None else now
+    reference = F.max("_last").over(Window.partitionBy()) if now is None else now
     age = F.unix_micros(reference) - F.unix_micros("_last")
     healthy = age <= round(limit * 1_000_000)
     return last.select(
