@@ -6,10 +6,10 @@ close by size and ticks on otherwise, also while nothing arrives.
 
 By size alone a batch is arithmetic on the row number.  With the clock it is a
 true left-to-right fold whose state is ``(deadline, held)``: the next tick and
-the entries in the open batch.  Keys of ordinary size are folded in sorted runs.
-A hot key is cut into chunks that are folded in parallel from guessed states;
-chunks whose guess differs from what the chunk before left are folded again
-until all agree, which makes the result the sequential one whatever the guesses.
+the entries in the open batch.  The chunks of a key are folded in parallel from
+guessed states; chunks whose guess differs from what the chunk before left are
+folded again until all agree, which makes the result the sequential one whatever
+the guesses.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ from pyspark.sql import types as T
 
 from riverlog.functions.timestamps import micros
 from riverlog.model import require
-from riverlog.plans.ordered import CHUNK_ROWS, RowNumber, measure, with_chunks, with_running
-from riverlog.plans.storage import ensure_checkpoint_dir
+from riverlog.plans.ordered import RowNumber, cut_rows, with_running
 
 
 def check_batching(max_size: int, interval: float | None) -> None:
@@ -68,7 +67,7 @@ def assign_batches(
     order: Sequence[str] = ("timestamp",),
     ts: str = "timestamp",
     start: Column | None = None,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add ``batch_id``, counted from 1 per key.  ``interval`` is in seconds.
 
@@ -78,7 +77,7 @@ def assign_batches(
     """
     check_batching(max_size, interval)
     if interval is None:
-        numbered = with_running(df, by, order, [RowNumber("_i")], chunk_rows)
+        numbered = with_running(df, by, order, [RowNumber("_i")], chunks)
         batch = F.floor((F.col("_i") - 1) / max_size) + 1
         return numbered.withColumn("batch_id", batch).drop("_i")
 
@@ -87,18 +86,9 @@ def assign_batches(
     begin = F.lit(None).cast("bigint") if start is None else F.unix_micros(start)
     place = [*by, *[name for name in order if name not in by]]
     narrow = df.select(*place, at.alias("_at"), begin.alias("_begin"))
-    chunking = measure(narrow, by, order, chunk_rows)
-    if not chunking.borders:
-        cut = narrow.withColumns(
-            {
-                "_chunk": F.lit(None).cast("int"),
-                "_deadline": F.lit(None).cast("bigint"),
-                "_held": F.lit(0).cast("bigint"),
-                "_offset": F.lit(0).cast("bigint"),
-            }
-        )
-    else:
-        cut = _with_states(with_chunks(narrow, by, order, chunking), by, max_size, step)
+    cut = cut_rows(narrow, by, order, ["_at", "_begin"], chunks)
+    rows = cut.chunk(cut.narrow).drop("_key_of_chunk")
+    cut = _with_states(rows, by, max_size, step)
     batches = _number_rows(cut, by, order, max_size, step)
     # rows of one place are interchangeable: each takes one of the place's batch numbers
     tied = df.withColumn("_tie", F.row_number().over(W.partitionBy(*place).orderBy(*place)))
@@ -182,10 +172,9 @@ class _Fold:
 
 
 def _with_states(cut: DataFrame, by: Sequence[str], max_size: int, step: int) -> DataFrame:
-    """Add the state each hot chunk starts from and the batches before it."""
-    ensure_checkpoint_dir(cut.sparkSession)
+    """Add the state each chunk starts from and the batches before it."""
     keys = [*by, "_chunk"]
-    hot = cut.where(F.col("_chunk").isNotNull()).select(*keys, "_at", "_begin").checkpoint()
+    hot = cut.select(*keys, "_at", "_begin")
 
     # Guesses.  A chunk in a busy stretch most likely closes by size only, so
     # what is held follows from the rows before; a quiet one keeps the clock of
@@ -285,9 +274,7 @@ def _with_states(cut: DataFrame, by: Sequence[str], max_size: int, step: int) ->
         "_held",
         F.coalesce(F.sum("_closes").over(before), F.lit(0)).alias("_offset"),
     )
-    return _match(cut, states, keys, how="left").withColumns(
-        {"_held": F.coalesce("_held", F.lit(0)), "_offset": F.coalesce("_offset", F.lit(0))}
-    )
+    return _match(cut, states, keys)
 
 
 def _match(rows: DataFrame, states: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

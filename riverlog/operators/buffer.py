@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from riverlog.functions.timestamps import micros
 from riverlog.model import DEFAULT_CAPACITY, require
 
-_PARTIAL_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-
 
 def check_capacity(capacity: int) -> None:
     require(capacity > 0, f"keep_latest: the capacity must be above zero, got {capacity}")
@@ -28,10 +26,8 @@ def keep_latest(
     """Per key, and per flush period of that many seconds if given, the newest
     ``capacity`` entries, with ``buffer_pos`` 1 for the oldest one kept.
 
-    The rank limit is applied in the map tasks first (a partial group limit),
-    so a hot key ships at most ``capacity`` rows per map task.  Spark does this
-    up to a capacity of its own choosing; above it an extra pass ranks each key
-    per input partition, which spreads a hot key over many tasks.
+    Each key is ranked per input partition first, which spreads a hot key over
+    many tasks; the final rank sees at most ``capacity`` rows of each.
     """
     check_capacity(capacity)
     keys = list(by)
@@ -45,13 +41,12 @@ def keep_latest(
     if not keys:
         # One buffer for everything: a distributed top-k, bounded by capacity.
         df = df.orderBy(*newest_first).limit(capacity)
-    if capacity > int(df.sparkSession.conf.get(_PARTIAL_LIMIT, "1000")):
-        df = df.withColumn("_slice", F.spark_partition_id())
-        local = Window.partitionBy(*keys, "_slice").orderBy(*newest_first)
-        # Any slicing gives the same result: the newest overall are among the
-        # newest of their slice.
-        df = df.withColumn("_local", F.row_number().over(local)).where(F.col("_local") <= capacity)
-        df = df.drop("_slice", "_local")
+    df = df.withColumn("_slice", F.spark_partition_id())
+    local = Window.partitionBy(*keys, "_slice").orderBy(*newest_first)
+    # Any slicing gives the same result: the newest overall are among the
+    # newest of their slice.
+    df = df.withColumn("_local", F.row_number().over(local)).where(F.col("_local") <= capacity)
+    df = df.drop("_slice", "_local")
     newest = Window.partitionBy(*keys).orderBy(*newest_first)
     kept = df.withColumn("_newest", F.row_number().over(newest)).where(F.col("_newest") <= capacity)
     size = F.max("_newest").over(Window.partitionBy(*keys))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from riverlog.functions.timestamps import micros
 from riverlog.model import require
-from riverlog.plans.ordered import CHUNK_ROWS, RunningSum, with_running
+from riverlog.plans.ordered import RunningSum, with_running
 from riverlog.plans.storage import ensure_checkpoint_dir
 
 
@@ -77,7 +77,7 @@ def dedup_bursts(
     window: float,
     key: str | Column = "raw",
     ts: str = "timestamp",
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """One row per kept line: ``key_hash``, ``first_at``, ``last_at`` (in
     microseconds) and ``occurrences``, the kept line and its duplicates.
@@ -106,7 +106,7 @@ def dedup_bursts(
         "left",
     ).select("_key", "_bucket", "_at", "_last", "_n", _starts_burst(width).cast("int").alias("_head"))
     numbered = with_running(
-        linked, ["_key"], ["_bucket"], [RunningSum("_burst", F.col("_head"))], chunk_rows
+        linked, ["_key"], ["_bucket"], [RunningSum("_burst", F.col("_head"))], chunks
     )
     return (
         numbered.groupBy(F.col("_key").alias("key_hash"), "_burst")

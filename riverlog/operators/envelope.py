@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverlog.model import require
-from riverlog.plans.ordered import CHUNK_ROWS, RowNumber, with_running
+from riverlog.plans.ordered import RowNumber, with_running
 
 
 def wrap_envelopes(
@@ -17,7 +17,7 @@ def wrap_envelopes(
     order: Sequence[str] = ("timestamp",),
     received_at: Column | None = None,
     dense: bool = True,
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add ``seq``, ``envelope_source`` and ``received_at``.
 
@@ -28,7 +28,7 @@ def wrap_envelopes(
     require(envelope_source != "", "envelope: the source must not be empty")
     stamp = F.current_timestamp() if received_at is None else received_at
     if dense:
-        numbered = with_running(df, [], order, [RowNumber("seq")], chunk_rows)
+        numbered = with_running(df, [], order, [RowNumber("seq")], chunks)
     else:
         numbered = df.withColumn("seq", F.monotonically_increasing_id() + 1)
     return numbered.withColumns({"envelope_source": F.lit(envelope_source), "received_at": stamp})

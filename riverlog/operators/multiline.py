@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riverlog.functions.values import field_string, in_fields, put, to_variant
 from riverlog.model import FIELDS, TEXT_ATTRIBUTES, require
-from riverlog.plans.ordered import CHUNK_ROWS, RunningMax, with_running
+from riverlog.plans.ordered import RunningMax, with_running
 
 
 def line_text(field: str) -> Column:
@@ -35,7 +35,7 @@ def coalesce_multiline(
     prefixes: Sequence[str],
     by: Sequence[str] = ("source",),
     order: Sequence[str] = ("timestamp",),
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Merge each run of entries whose ``field`` starts with a prefix into the
     entry before it; values are joined by line breaks, everything else comes
@@ -51,7 +51,7 @@ def coalesce_multiline(
     marked = df.withColumn("_text", line_text(field)).withColumn(
         "_head_at", F.when(~is_continuation(F.col("_text"), prefixes), at)
     )
-    grouped = with_running(marked, by, order, [RunningMax("_group", F.col("_head_at"))], chunk_rows)
+    grouped = with_running(marked, by, order, [RunningMax("_group", F.col("_head_at"))], chunks)
     merged = grouped.groupBy(*by, "_group").agg(
         F.min_by(F.struct(*df.columns), at).alias("_first"),
         F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("_text").alias("text")))).alias(

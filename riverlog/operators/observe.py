@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverlog.plans.ordered import CHUNK_ROWS, Previous, with_running
+from riverlog.plans.ordered import Previous, with_running
 
 AVAILABLE = "available"
 MISSING = "missing"
@@ -91,13 +91,13 @@ def state_transitions(
     by: Sequence[str] = ("path",),
     order: Sequence[str] = ("poll_ts",),
     available: str = "available",
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Polls at which a path appears or disappears, with its new ``state``.
     The first poll of a path always counts."""
     state = F.when(F.col(available), AVAILABLE).otherwise(MISSING)
     seen = polls.withColumn("state", state)
-    compared = with_running(seen, by, order, [Previous("_before", F.col("state"))], chunk_rows)
+    compared = with_running(seen, by, order, [Previous("_before", F.col("state"))], chunks)
     changed = F.col("_before").isNull() | (F.col("_before") != F.col("state"))
     return compared.where(changed).drop("_before")
 
@@ -108,13 +108,13 @@ def rotation_events(
     order: Sequence[str] = ("poll_ts",),
     inode: str = "inode",
     size: str = "size",
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Polls at which a file was replaced or cut, with the ``reason``.  Polls
     that found no file (NULL metadata) are skipped; the first one is the base."""
     found = polls.where(F.col(inode).isNotNull() & F.col(size).isNotNull())
     meta = F.struct(F.col(inode).alias("inode"), F.col(size).alias("size"))
-    compared = with_running(found, by, order, [Previous("_before", meta)], chunk_rows)
+    compared = with_running(found, by, order, [Previous("_before", meta)], chunks)
     reason = F.when(F.col("_before.inode") != F.col(inode), INODE_CHANGED).when(
         F.col(size) < F.col("_before.size"), TRUNCATED
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from riverlog.functions.timestamps import micros
 from riverlog.model import require
-from riverlog.plans.ordered import CHUNK_ROWS, RowNumber, RunningMax, measure, with_running
+from riverlog.plans.ordered import RowNumber, RunningMax, cut_rows, with_running
 
 
 def check_rate(rate: float, burst: int) -> None:
@@ -33,7 +33,7 @@ def shape_rate(
     by: Sequence[str] = ("source",),
     order: Sequence[str] = ("timestamp",),
     ts: str = "timestamp",
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add ``release_at`` and ``delay``, both in microseconds.
 
@@ -43,10 +43,9 @@ def shape_rate(
     """
     check_rate(rate, burst)
     at = micros(F.col(ts), df.schema[ts].dataType.simpleString())
-    chunking = measure(df, by, order, chunk_rows)
-    ranked = with_running(
-        df.withColumn("_at", at), by, order, [RowNumber("_i")], chunking=chunking, keep_chunks=True
-    )
+    timed = df.withColumn("_at", at)
+    cut = cut_rows(timed, by, order, ["_at"], chunks)
+    ranked = with_running(timed, by, order, [RowNumber("_i")], cut=cut, keep_chunks=True)
     if rate == 0 or burst == 0:
         released = F.when((F.col("_i") <= burst), F.col("_at"))
     else:
@@ -55,7 +54,8 @@ def shape_rate(
             return F.floor(count * F.lit(1_000_000 / rate))
 
         slack = RunningMax("_slack", F.col("_at") - tokens(F.col("_i")))
-        ranked = with_running(ranked, by, order, [slack], chunking=chunking)
+        numbered = cut.of(with_running(cut.narrow, by, order, [RowNumber("_i")], cut=cut))
+        ranked = with_running(ranked, by, order, [slack], cut=numbered)
         released = F.greatest(F.col("_at"), tokens(F.col("_i") + F.lit(1 - burst)) + F.col("_slack"))
     return (
         ranked.withColumn("release_at", released)

@@ -2,25 +2,29 @@
 
 ``row_number``, running sums, running maxima and "previous value" are window
 functions partitioned by a key.  A plain window sends each key to one task, and
-one log source may well hold a third of all rows.  So the key sizes are measured
-first (one narrow aggregation with map-side partial counts):
-
-* no key above ``chunk_rows`` rows: one ordinary window, one shuffle;
-* otherwise the hot keys, and only those, are cut along the order into chunks
-  of about equal size.  Windows run inside ``(key, chunk)``; a summary with one
-  row per hot chunk, pre-aggregated before its shuffle, gives the value carried
-  into each chunk; both meet in an equi-join on ``(key, chunk)``, for which the
-  rows are already partitioned and sorted.
-
-Chunk borders are quantiles of the leading order column, fetched once and put
-into the plan as literals: every branch and every task retry cuts alike.
+one log source may well hold a third of all rows.  So all rows are cut along
+``(key, order)`` into chunks of about equal size, whatever the keys hold:
+
+* key, order and value columns, and no others, are computed once and written
+  (``checkpoint``); a range partitioning of them gives the chunk borders;
+* windows run inside ``(key, chunk)``; a summary with one row per key and chunk,
+  taken from the written columns, gives the value carried into each chunk; both
+  meet in an equi-join on ``(key, chunk)``, for which the rows are already
+  partitioned and sorted.  The rows are shuffled once.
+
+Tables of every size and keys of every size take this one plan.  A table has as
+many chunks as the session has shuffle partitions, so chunks are sized like the
+partitions of any other shuffle.  Borders are whole ``(key, order)`` tuples:
+rows that tie in the leading order column are cut too, only rows that tie in all
+columns stay together.  The borders, one tuple per chunk, are fetched once and
+put into the plan as a literal: every branch and every task retry cuts alike.
 """
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +32,7 @@ from pyspark.sql import types as T
 
 from riverlog.functions.timestamps import micros
 from riverlog.model import require
-
-CHUNK_ROWS = 2_000_000
-# Bounds on what reaches the driver and the plan: border values, hot keys.
-MAX_BORDERS = 8192
-MAX_HOT_KEYS = 50_000
+from riverlog.plans.storage import ensure_checkpoint_dir
 
 _CHUNK = "_chunk"
 _KEY = "_key_of_chunk"
@@ -71,91 +71,83 @@ Running = RowNumber | RunningSum | RunningMax | Previous
 
 
 @dataclass(frozen=True)
-class Chunking:
-    """How the rows of one DataFrame are cut; reusable for the same rows."""
-
-    borders: tuple[int, ...] = ()
-    hot_keys: DataFrame | None = None
-
-
-def _position(df: DataFrame, column: str) -> Column:
-    """The leading order column as a whole number."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        return micros(F.col(column), kind.simpleString())
-    require(
-        isinstance(kind, T.IntegralType),
-        f"order column {column!r} must be a timestamp or a whole number to be cut into chunks",
+class Cut:
+    """Written key, order and value columns of some rows, and how they are cut;
+    reusable for the same rows, keys and order."""
+
+    narrow: DataFrame
+    by: tuple[str, ...]
+    order: tuple[str, ...]
+    borders: str
+    place_type: str
+
+    def of(self, narrow: DataFrame) -> Cut:
+        """The same cut with more value columns."""
+        return replace(self, narrow=narrow)
+
+    def chunk(self, df: DataFrame) -> DataFrame:
+        """Add the chunk of each row, and its key as one struct: never NULL
+        itself, equal when its parts are, NULLs included, so that window and
+        join share one partitioning."""
+        cut = df.withColumn(_CHUNK, _chunk_index(_place(df, self.by, self.order), self.borders, self.place_type))
+        return cut.withColumn(_KEY, F.struct(*self.by)) if self.by else cut
+
+
+def _distinct(by: Sequence[str], order: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys([*by, *order]))
+
+
+def _place(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Column:
+    """Key and order of a row as one tuple, times as whole numbers."""
+    parts = []
+    for number, name in enumerate(_distinct(by, order)):
+        kind = df.schema[name].dataType
+        timed = isinstance(kind, T.TimestampType | T.TimestampNTZType)
+        part = micros(F.col(name), kind.simpleString()) if timed else F.col(name)
+        parts.append(part.alias(f"p{number}"))
+    return F.struct(*parts)
+
+
+def cut_rows(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str] = (), chunks: int | None = None
+) -> Cut:
+    """Write key, order and ``values`` columns and cut them into ``chunks``
+    (default: the shuffle partitions of the session) of about equal size."""
+    require(len(order) > 0, "an arrival order needs at least one column")
+    require(chunks is None or chunks >= 1, "the number of chunks must be at least 1")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    columns = _distinct(by, order)
+    narrow = df.select(*columns, *[name for name in values if name not in columns]).checkpoint()
+    wanted = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    firsts = (
+        narrow.repartitionByRange(wanted, *columns)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", _place(narrow, by, order))
+        .groupBy("_part")
+        .agg(F.min("_place").alias("_place"))
     )
-    return F.col(column).cast("bigint")
-
-
-def _same_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for name in by:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
-def _borders(rows: DataFrame, lead: str, wanted: int) -> tuple[int, ...]:
-    count = min(wanted, MAX_BORDERS) - 1
-    if count < 1:
-        return ()
-    quantiles = [(i + 1) / (count + 1) for i in range(count)]
-    accuracy = max(10_000, 20 * count)
-    cut = F.percentile_approx(_position(rows, lead), quantiles, accuracy)
-    found = rows.agg(cut.alias("cut")).first()["cut"]
-    return tuple(sorted(set(found or ())))
-
-
-def measure(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], chunk_rows: int | None = CHUNK_ROWS
-) -> Chunking:
-    """Count rows per key and choose chunks.  ``chunk_rows=None`` skips the
-    count and promises that no key is hot."""
-    if chunk_rows is None:
-        return Chunking()
-    require(chunk_rows >= 1, "chunk_rows must be at least 1")
-    _position(df, order[0])
-    if not by:
-        total = df.count()
-        # One unkeyed stream: never a single-task window once it is large.
-        return Chunking(_borders(df, order[0], math.ceil(total / chunk_rows)))
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    top = sizes.agg(F.max("_rows").alias("largest"), F.sum("_rows").alias("total")).first()
-    # A key is hot above this size, so at most MAX_HOT_KEYS keys can be.
-    limit = max(chunk_rows, math.ceil((top["total"] or 0) / MAX_HOT_KEYS))
-    if (top["largest"] or 0) <= limit:
-        return Chunking()
-    hot = sizes.where(F.col("_rows") > limit).select(*by)
-    hot_rows = df.join(F.broadcast(hot), _same_keys(df, hot, by), "left_semi")
-    borders = _borders(hot_rows, order[0], math.ceil(top["total"] / limit))
-    return Chunking(borders, hot) if borders else Chunking()
-
-
-def _chunk_index(position: Column, borders: Sequence[int]) -> Column:
-    """How many borders lie at or below ``position``: a binary search in steps
-    of falling powers of two over a literal array."""
-    steps = [2**k for k in reversed(range(len(borders).bit_length()))]
-    table = F.lit(list(borders))
+    found = firsts.agg(F.to_json(F.array_sort(F.collect_list("_place"))).alias("borders"))
+    kind = firsts.schema["_place"].dataType.simpleString()
+    return Cut(narrow, tuple(by), tuple(order), found.first()["borders"], kind)
+
+
+def _chunk_index(place: Column, borders: str, place_type: str) -> Column:
+    """How many borders lie at or below ``place``: a binary search in steps of
+    falling powers of two over a literal array."""
+    count = len(json.loads(borders))
+    if count < 2:
+        return F.lit(0)
+    steps = [2**k for k in reversed(range(count.bit_length()))]
+    # A constant: Spark reads the text once, when it plans.
+    table = F.from_json(F.lit(borders), f"array<{place_type}>")
     return F.aggregate(
         F.array(*[F.lit(step) for step in steps]),
         F.lit(0),
-        lambda below, step: below
-        + F.when(F.get(table, below + step - 1) <= position, step).otherwise(0),
+        lambda below, step: below + F.when(F.get(table, below + step - 1) <= place, step).otherwise(0),
     )
 
 
-def with_chunks(df: DataFrame, by: Sequence[str], order: Sequence[str], chunking: Chunking) -> DataFrame:
-    index = F.coalesce(_chunk_index(_position(df, order[0]), chunking.borders), F.lit(0))
-    if chunking.hot_keys is None:
-        return df.withColumn(_CHUNK, index)
-    hot = chunking.hot_keys.withColumn("_hot", F.lit(True))
-    # At most MAX_HOT_KEYS rows, see measure().
-    marked = df.join(F.broadcast(hot), _same_keys(df, hot, by), "left").select(df["*"], hot["_hot"])
-    return marked.withColumn(_CHUNK, F.when(F.col("_hot"), index)).drop("_hot")
-
-
 def _local(item: Running, window: Window) -> Column:
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     match item:
@@ -169,16 +161,16 @@ def _local(item: Running, window: Window) -> Column:
             return F.lag(item.value).over(window)
 
 
-def _summary(item: Running, order: Column) -> Column:
+def _summary(item: Running, value: str | None, order: Column) -> Column:
     match item:
         case RowNumber():
             return F.count(F.lit(1))
         case RunningSum():
-            return F.sum(item.value)
+            return F.sum(value)
         case RunningMax():
-            return F.max(item.value)
+            return F.max(value)
         case Previous():
-            return F.max_by(F.struct(item.value.alias("v")), order)
+            return F.max_by(F.struct(F.col(value).alias("v")), order)
 
 
 def _carry(item: Running, column: Column, before: Window, chunks: Window) -> Column:
@@ -206,62 +198,54 @@ def with_running(
     by: Sequence[str],
     order: Sequence[str],
     items: Sequence[Running],
-    chunk_rows: int | None = CHUNK_ROWS,
-    chunking: Chunking | None = None,
+    chunks: int | None = None,
+    cut: Cut | None = None,
     keep_chunks: bool = False,
 ) -> DataFrame:
     """Add one column per item, computed over ``by`` in ascending ``order``.
 
-    ``order`` must be total within a key; its first column must be a timestamp
-    or a whole number.  With ``keep_chunks`` the result keeps its cut, and the
-    next call on it, for the same keys and order, needs no new shuffle of rows.
+    ``order`` must be total within a key.  With ``keep_chunks`` the result keeps
+    its chunks, and the next call on it with the same ``cut`` needs no new
+    shuffle of rows; the values of its items must then be columns of the cut.
     """
-    require(len(order) > 0, "an arrival order needs at least one column")
-    plan = measure(df, by, order, chunk_rows) if chunking is None else chunking
-    sort = [F.col(name).asc() for name in order]
-    if not plan.borders:
-        window = Window.partitionBy(*by).orderBy(*sort)
-        return df.withColumns({item.name: _local(item, window) for item in items})
-
-    if _CHUNK in df.columns:
-        cut = df
+    valued = {item.name: f"_value_{n}" for n, item in enumerate(items) if not isinstance(item, RowNumber)}
+    values = {valued[item.name]: item.value for item in items if item.name in valued}
+    if cut is None:
+        cut = cut_rows(df.withColumns(values) if values else df, by, order, list(values), chunks)
+        written = cut.narrow
     else:
-        # The key as one struct: never NULL itself, equal when its parts are,
-        # NULLs included, so that window and join share one partitioning.
-        cut = with_chunks(df, by, order, plan)
-        if by:
-            cut = cut.withColumn(_KEY, F.struct(*by))
+        written = cut.narrow.withColumns(values) if values else cut.narrow
+    written = cut.chunk(written)
+    rows = df if _CHUNK in df.columns else cut.chunk(df)
+
     keys = [_KEY, _CHUNK] if by else [_CHUNK]
-    inside = Window.partitionBy(*keys).orderBy(*sort)
+    inside = Window.partitionBy(*keys).orderBy(*[F.col(name).asc() for name in order])
     local_names = {item.name: f"_local_{position}" for position, item in enumerate(items)}
     carry_names = {item.name: f"_carry_{position}" for position, item in enumerate(items)}
-    local = cut.withColumns(
+    local = rows.withColumns(
         {local_names[item.name]: _local(item, inside) for item in items}
         | {"_first": F.row_number().over(inside) == 1}
     )
 
     at = F.struct(*order)
-    sums = (
-        cut.where(F.col(_CHUNK).isNotNull())
-        .groupBy(*keys)
-        .agg(*[_summary(item, at).alias(carry_names[item.name]) for item in items])
+    sums = written.groupBy(*keys).agg(
+        *[_summary(item, valued.get(item.name), at).alias(carry_names[item.name]) for item in items]
     )
-    chunks = Window.partitionBy(*keys[:-1]).orderBy(_CHUNK)
-    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    chunks_of = Window.partitionBy(*keys[:-1]).orderBy(_CHUNK)
+    before = chunks_of.rowsBetween(Window.unboundedPreceding, -1)
     carries = sums.select(
         *[F.col(name).alias(f"_key_{position}") for position, name in enumerate(keys)],
         *[
-            _carry(item, F.col(carry_names[item.name]), before, chunks).alias(carry_names[item.name])
+            _carry(item, F.col(carry_names[item.name]), before, chunks_of).alias(carry_names[item.name])
             for item in items
         ],
     )
-    # Cold rows have a NULL chunk: they match nothing and take no carry.
     match_keys = F.lit(True)
     for position, name in enumerate(keys):
         match_keys = match_keys & (F.col(name) == F.col(f"_key_{position}"))
     joined = local.join(carries, match_keys, "left")
     return joined.select(
-        *[F.col(name) for name in cut.columns if keep_chunks or name not in (_KEY, _CHUNK)],
+        *[F.col(name) for name in rows.columns if keep_chunks or name not in (_KEY, _CHUNK)],
         *[
             _combine(item, F.col(local_names[item.name]), F.col(carry_names[item.name]), F.col("_first")).alias(
                 item.name

@@ -1,10 +1,11 @@
-"""Windowed and sequential operators, on the plain and on the chunked plan,
-against straightforward single-threaded computations."""
+"""Windowed and sequential operators, cut into few and many chunks, against
+straightforward single-threaded computations."""
 
 import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riverlog.model import RuleError
@@ -15,10 +16,10 @@ from riverlog.operators.envelope import wrap_envelopes
 from riverlog.operators.multiline import coalesce_multiline
 from riverlog.operators.observe import rotation_events, state_transitions
 from riverlog.operators.rate import rate_stats, shape_rate
-from riverlog.plans.ordered import Previous, RowNumber, RunningMax, RunningSum, measure, with_running
+from riverlog.plans.ordered import Previous, RowNumber, RunningMax, RunningSum, cut_rows, with_running
 
 EPOCH = dt.datetime(2024, 1, 1)
-PLANS = [None, 25, 2_000_000]
+CHUNKS = [None, 1, 13]
 
 
 def at(us):
@@ -45,8 +46,8 @@ def frame(spark, rows):
     return spark.createDataFrame(data, "id bigint, timestamp timestamp, source string").repartition(3)
 
 
-@pytest.mark.parametrize("chunk_rows", [10, 40])
-def test_running_values_do_not_depend_on_the_plan(spark, chunk_rows):
+@pytest.mark.parametrize("chunks", [1, 8, 30])
+def test_running_values_do_not_depend_on_the_chunks(spark, chunks):
     rows = skewed(1)
     df = frame(spark, rows).withColumn("v", F.when(F.col("id") % 3 > 0, F.col("id") * 7 % 31))
     items = [
@@ -56,11 +57,14 @@ def test_running_values_do_not_depend_on_the_plan(spark, chunk_rows):
         Previous("p", F.col("v")),
     ]
     order = ["timestamp", "id"]
-    assert measure(df, ["source"], order, chunk_rows).borders
-    plain = with_running(df, ["source"], order, items, None).select("id", "n", "s", "m", "p")
-    cut = with_running(df, ["source"], order, items, chunk_rows).select("id", "n", "s", "m", "p")
+    window = Window.partitionBy("source").orderBy(*order)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = df.select(
+        "id", F.row_number().over(window), F.sum("v").over(upto), F.max("v").over(upto), F.lag("v").over(window)
+    )
+    cut = with_running(df, ["source"], order, items, chunks).select("id", "n", "s", "m", "p")
     assert sorted(plain.collect()) == sorted(cut.collect())
-    whole = with_running(df, [], order, [RowNumber("n")], chunk_rows).select("id", "n")
+    whole = with_running(df, [], order, [RowNumber("n")], chunks).select("id", "n")
     assert [r["n"] for r in whole.orderBy("id").collect()] == list(range(1, len(rows) + 1))
 
 
@@ -70,16 +74,29 @@ def test_null_keys_are_a_key(spark):
     assert [r["n"] for r in out.where("source is null").orderBy("id").collect()] == list(range(1, 31))
 
 
-def test_hot_key_is_not_one_task(spark):
-    df = frame(spark, skewed(2))
-    out = with_running(df, ["source"], ["timestamp", "id"], [RowNumber("n")], 20)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "_chunk" in plan
+def test_rows_of_one_time_are_cut_by_the_rest_of_the_order(spark):
+    df = frame(spark, [(i, 5, "hot") for i in range(400)])
+    cut = cut_rows(df, ["source"], ["timestamp", "id"], chunks=8)
+    sizes = [r["count"] for r in cut.chunk(df).groupBy("_chunk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 150
+    out = with_running(df, ["source"], ["timestamp", "id"], [RowNumber("n")], cut=cut)
+    assert [r["n"] for r in out.orderBy("id").collect()] == list(range(1, 401))
 
 
-def test_order_must_be_cuttable(spark):
-    with pytest.raises(RuleError):
-        with_running(spark.createDataFrame([("a",)], "s string"), [], ["s"], [RowNumber("n")], 1)
+def test_order_of_texts_and_nulls(spark):
+    texts = ["b", None, 'q"\\u00e9', "a", "\u00e4", "c\nd", ""]
+    df = spark.createDataFrame([(text,) for text in texts], "s string")
+    out = with_running(df, [], ["s"], [RowNumber("n")], 5).orderBy("n").collect()
+    assert [r["s"] for r in out] == [None, *sorted(text for text in texts if text is not None)]
+    assert with_running(df.limit(0), [], ["s"], [RowNumber("n")], 5).count() == 0
+
+
+def test_rows_never_meet_in_one_task(spark):
+    df = frame(spark, skewed(2))
+    out = wrap_envelopes(df, "app.log", ["timestamp", "id"], chunks=6)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    window_keys = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
+    assert window_keys and all("_chunk" in line for line in window_keys)
 
 
 # -- dedup ------------------------------------------------------------------
@@ -105,8 +122,8 @@ def test_dedup(spark, window):
     out = dedup_window(df, window, "source", order=("id",))
     assert sorted(r["id"] for r in out.collect()) == kept
     assert out.columns == df.columns
-    for chunk_rows in PLANS:
-        found = dedup_bursts(df, window, "source", chunk_rows=chunk_rows).collect()
+    for chunks in CHUNKS:
+        found = dedup_bursts(df, window, "source", chunks=chunks).collect()
         got = sorted((r["first_at"], r["last_at"], r["occurrences"]) for r in found)
         base = round(EPOCH.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
         assert got == sorted((base + a, base + b, n) for group in bursts.values() for a, b, n in group)
@@ -136,14 +153,14 @@ def multiline_reference(rows):
     return sorted((i, "\n".join(texts)) for i, texts in groups)
 
 
-@pytest.mark.parametrize("chunk_rows", PLANS)
-def test_multiline(spark, make, chunk_rows):
+@pytest.mark.parametrize("chunks", CHUNKS)
+def test_multiline(spark, make, chunks):
     rng = random.Random(4)
     rows = [(*row, rng.choice(["head", "\tat x", "at y", ""])) for row in skewed(4)]
     data = [(i, at(t), "", text, k) for i, t, k, text in rows]
     df = spark.createDataFrame(data, "id bigint, timestamp timestamp, level string, message string, source string")
     df = df.withColumn("fields", F.expr("map('k', cast(id as variant))")).withColumn("raw", F.lit(""))
-    out = coalesce_multiline(df, "message", ["\t", "at "], ["source"], ["timestamp", "id"], chunk_rows)
+    out = coalesce_multiline(df, "message", ["\t", "at "], ["source"], ["timestamp", "id"], chunks)
     assert sorted((r["id"], r["message"]) for r in out.select("id", "message").collect()) == multiline_reference(rows)
     assert out.select(F.expr("cast(fields['k'] as bigint) = id")).distinct().collect() == [(True,)]
 
@@ -178,12 +195,12 @@ def batch_reference(rows, size, interval, start=None):
     return out
 
 
-@pytest.mark.parametrize("chunk_rows", PLANS)
+@pytest.mark.parametrize("chunks", CHUNKS)
 @pytest.mark.parametrize("size, interval", [(3, 1.0), (7, 5.0), (1000, 2.0), (4, 1000.0), (1, 0.001)])
-def test_batches(spark, chunk_rows, size, interval):
+def test_batches(spark, chunks, size, interval):
     rows = skewed(5)
     out = assign_batches(
-        frame(spark, rows), size, interval, ["source"], ["timestamp", "id"], chunk_rows=chunk_rows
+        frame(spark, rows), size, interval, ["source"], ["timestamp", "id"], chunks=chunks
     )
     got = {r["id"]: r["batch_id"] for r in out.collect()}
     assert got == batch_reference(rows, size, round(interval * 1e6))
@@ -192,11 +209,11 @@ def test_batches(spark, chunk_rows, size, interval):
 def test_batches_by_size_and_start(spark):
     rows = skewed(6, n=80)
     df = frame(spark, rows)
-    by_size = assign_batches(df, 4, None, ["source"], ["timestamp", "id"], chunk_rows=10)
+    by_size = assign_batches(df, 4, None, ["source"], ["timestamp", "id"], chunks=7)
     assert {r["id"]: r["batch_id"] for r in by_size.collect()} == batch_reference(rows, 4, 10**15)
     start = F.lit("2023-12-31T23:59:59.700Z").cast("timestamp")
-    for chunk_rows in (10, None):
-        timed = assign_batches(df, 4, 1.0, ["source"], ["timestamp", "id"], start=start, chunk_rows=chunk_rows)
+    for chunks in (7, None):
+        timed = assign_batches(df, 4, 1.0, ["source"], ["timestamp", "id"], start=start, chunks=chunks)
         assert {r["id"]: r["batch_id"] for r in timed.collect()} == batch_reference(rows, 4, 10**6, -300_000)
     for size, interval in ((0, 1.0), (1, 0), (1, -1)):
         with pytest.raises(RuleError):
@@ -247,12 +264,12 @@ def bucket_reference(arrivals, rate, burst):
     return out
 
 
-@pytest.mark.parametrize("chunk_rows", [25, None])
+@pytest.mark.parametrize("chunks", [12, None])
 @pytest.mark.parametrize("rate, burst", [(5, 1), (2, 4), (100, 1)])
-def test_shape_rate(spark, chunk_rows, rate, burst):
+def test_shape_rate(spark, chunks, rate, burst):
     rows = skewed(8, n=150)
     base = round(EPOCH.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
-    out = shape_rate(frame(spark, rows), rate, burst, order=["timestamp", "id"], chunk_rows=chunk_rows)
+    out = shape_rate(frame(spark, rows), rate, burst, order=["timestamp", "id"], chunks=chunks)
     got = {r["id"]: (r["release_at"] - base, r["delay"]) for r in out.collect()}
     for key in {k for _, _, k in rows}:
         mine = [(i, t) for i, t, k in rows if k == key]
@@ -274,11 +291,11 @@ def test_shape_rate_cases(spark):
             shape_rate(three, rate, burst)
 
 
-@pytest.mark.parametrize("chunk_rows", [20, None])
-def test_envelopes(spark, chunk_rows):
+@pytest.mark.parametrize("chunks", [9, None])
+def test_envelopes(spark, chunks):
     rows = skewed(9, n=100)
     df = frame(spark, rows)
-    out = wrap_envelopes(df, "app.log", ["timestamp", "id"], chunk_rows=chunk_rows).orderBy("id").collect()
+    out = wrap_envelopes(df, "app.log", ["timestamp", "id"], chunks=chunks).orderBy("id").collect()
     assert [r["seq"] for r in out] == list(range(1, 101))
     assert {r["envelope_source"] for r in out} == {"app.log"}
     loose = wrap_envelopes(df, "app.log", dense=False).select("seq").distinct().count()
@@ -290,8 +307,8 @@ def test_envelopes(spark, chunk_rows):
 # -- observation tables -----------------------------------------------------
 
 
-@pytest.mark.parametrize("chunk_rows", [20, None])
-def test_transitions_and_rotation(spark, chunk_rows):
+@pytest.mark.parametrize("chunks", [9, None])
+def test_transitions_and_rotation(spark, chunks):
     rng = random.Random(10)
     rows = [(i, t, k, rng.random() < 0.6, rng.choice([1, 1, 1, 2]), rng.choice([10, 20, 30, None])) for i, t, k in skewed(10)]
     data = [(i, at(t), k, up, ino, size) for i, t, k, up, ino, size in rows]
@@ -311,9 +328,9 @@ def test_transitions_and_rotation(spark, chunk_rows):
             events.append((i, "truncated"))
         meta[k] = (ino, size)
     order = ["poll_ts", "id"]
-    got = state_transitions(polls, order=order, chunk_rows=chunk_rows).select("id", "state").collect()
+    got = state_transitions(polls, order=order, chunks=chunks).select("id", "state").collect()
     assert sorted(got) == changes
-    got = rotation_events(polls, order=order, chunk_rows=chunk_rows).select("id", "reason").collect()
+    got = rotation_events(polls, order=order, chunks=chunks).select("id", "reason").collect()
     assert sorted(got) == events
 
 
