@@ -100,7 +100,7 @@ FROM logs WHERE event_id % 20 IN (0, 1, 2, 3)""",
 SELECT event_id,
        CASE WHEN kind <= 3 THEN '' ELSE level END AS level,
        CASE kind WHEN 0 THEN '' WHEN 1 THEN 'plain' WHEN 2 THEN '{{"ts"' WHEN 3 THEN '[{{"ts'
-            ELSE left(message, 5) END AS message_head,
+            ELSE message END AS text,
        kind <= 3 AS is_line,
        (CASE WHEN kind <= 4 THEN 0 ELSE 4 END)::BIGINT AS n_fields
 FROM dirty""",

@@ -132,7 +132,8 @@ def raw_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(
         "event_id",
         "level",
-        F.left("message", F.lit(5)).alias("message_head"),
+        # a line kept as it is is compared with its raw text, a parsed message whole
+        F.when(F.col("message") == F.col("raw"), F.left("message", F.lit(5))).otherwise(F.col("message")).alias("text"),
         (F.col("message") == F.col("raw")).alias("is_line"),
         F.size(FIELDS).cast("bigint").alias("n_fields"),
     )
