@@ -14,8 +14,8 @@ compared with its buckets' smallest members, the hubs, and verified with the
 hub it agrees with most; so a group of near copies becomes one component by as
 many comparisons as it has members.  Then only pairs of one bucket that are in
 different components so far are looked at, in blocks of bounded size.  What may
-still be linked falls into clusters; a block of a cluster emits a spanning
-forest of its possible links, never the pairs.  The texts of a cluster are dealt
+still be linked falls into clusters, every member by its own possible links; a
+block of a bucket emits a spanning forest of them, never the pairs.  The texts of a cluster are dealt
 into blocks again, pairs of different components are decided on the full sets
 there, and the links found, a forest too, complete the components.  So every
 candidate pair is either in one component anyway or was decided: components are
@@ -178,16 +178,16 @@ def _agreeing(matrix: np.ndarray, row: int, others: np.ndarray, least: list[int]
     return others
 
 
-def _forest(node: np.ndarray, label: np.ndarray, chunk: np.ndarray, linked) -> pa.RecordBatch:
-    """A spanning forest of the links between members of different labels;
-    ``linked(row, others)`` gives those of ``others`` that ``row`` links with.
+def _forest(node: np.ndarray, label: np.ndarray, comp: np.ndarray, chunk: np.ndarray, linked) -> pa.RecordBatch:
+    """A spanning forest, begun at ``label``, of the links between members of different
+    ``comp``; ``linked(row, others)`` gives those of ``others`` that ``row`` links with.
     Blocks of two chunks leave the pairs inside a chunk to that chunk's own block."""
     label = label.copy()
     across = len(np.unique(chunk)) > 1
     us, vs = [], []
     for row in range(len(node) - 1):
         others = np.arange(row + 1, len(node))
-        others = others[label[others] != label[row]]
+        others = others[(label[others] != label[row]) & (comp[others] != comp[row])]
         if across:
             others = others[chunk[others] != chunk[row]]
         if not len(others):
@@ -205,7 +205,8 @@ def _bucket_block(table: pa.Table, least: list[int]) -> pa.RecordBatch:
     node, comp, chunk = (np.asarray(table.column(n)) for n in ("node", "comp", "chunk"))
     column = table.column("sig").combine_chunks()
     matrix = _matrix(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
-    return _forest(node, comp, chunk, lambda row, others: _agreeing(matrix, row, others, least))
+    # a possible link is not a decided one: it must not stand for those of its components' other members
+    return _forest(node, node, comp, chunk, lambda row, others: _agreeing(matrix, row, others, least))
 
 
 def _cluster_block(table: pa.Table, least: list[int]) -> pa.RecordBatch:
@@ -219,7 +220,7 @@ def _cluster_block(table: pa.Table, least: list[int]) -> pa.RecordBatch:
     full = np.flatnonzero(size)
     node, comp, chunk, size, sets = node[full], comp[full], chunk[full], size[full], [sets[i] for i in full]
     if len(sets) < 2:
-        return _forest(node[:0], comp[:0], chunk[:0], None)
+        return _forest(node[:0], comp[:0], comp[:0], chunk[:0], None)
     matrix = (signatures(np.concatenate(sets), np.append(0, np.cumsum(size))) & np.uint32(255)).astype(np.uint8)
 
     def linked(row: int, others: np.ndarray) -> np.ndarray:
@@ -232,7 +233,7 @@ def _cluster_block(table: pa.Table, least: list[int]) -> pa.RecordBatch:
         both = np.add.reduceat(hit.astype(np.int64), np.append(0, np.cumsum(size[others])[:-1]))
         return others[100 * both >= PERCENT * (size[row] + size[others] - both)]
 
-    return _forest(node, comp, chunk, linked)
+    return _forest(node, comp, comp, chunk, linked)
 
 
 def _block_rows(name_column: str, work, least: list[int]):

@@ -99,6 +99,31 @@ def test_near_copies_that_no_hub_links(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
 
 
+def test_outsiders_that_link_with_a_late_member_only(spark):
+    """Families of near copies and an outsider each, which is a near copy of the family's
+    last member and only nearly one of the others, that hold its bands with smaller ids;
+    and families of graded truncations."""
+    rng = random.Random(31)
+    rows = []
+
+    def edited(own, at):
+        return [f"e{rng.getrandbits(40)}" if i in at else word for i, word in enumerate(own)]
+
+    for family in range(8):
+        outsider = [f"f{family}-{i}" for i in range(160)]
+        late = edited(outsider, {5, 40, 75, 110})  # 20 of 156 shingles: 0.77
+        for n in range(40):
+            rows.append((1000 * family + n, " ".join(edited(late, {rng.choice(range(12, 156, 7)), rng.choice(range(15, 156, 7))}))))
+        rows.append((1000 * family + 40, " ".join(late)))
+        rows.append((1000 * family + 41, " ".join(outsider)))
+    for family in range(8):
+        own = [f"g{family}-{i}" for i in range(150)]
+        rows += [(1000 * family + 500 + n, " ".join(own[:size])) for n, size in enumerate([*range(96, 110), 111, 145])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dedup.link_components(df).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
+
+
 def test_least_matches_rise_with_the_batches():
     least = near_dedup.least_matches(0.75, 1e-6, [32, 64, 128])
     assert least == sorted(least) and least[0] < 24 and least[-1] < 96
