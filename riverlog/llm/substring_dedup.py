@@ -89,11 +89,12 @@ def anchored(words: Words, window: int) -> tuple[np.ndarray, ...]:
 
 
 def _recurring(words: Words, window: int) -> np.ndarray:
-    """Texts in which a prefix gram comes again within one window."""
+    """Texts in which a prefix gram comes again within one window or in the next place
+    after it: neighbouring windows of one anchor, equal ones among them, are at most so far apart."""
     prefix = min(PREFIX, window)
     grams = gram_hashes(words.hash, prefix)
     found = np.zeros(len(words.first) - 1, dtype=bool)
-    for step in range(1, window - prefix + 1):
+    for step in range(1, window - prefix + 2):
         hit = np.flatnonzero(grams[step:] == grams[:-step]) if len(grams) > step else ()
         if len(hit):
             hit = hit[words.text[hit] == words.text[hit + step]]

@@ -161,6 +161,18 @@ def test_substring_dedup(table, group_runs, request):
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows_of(df), 20)
 
 
+@pytest.mark.parametrize("window", [20, 5])
+def test_repeats_of_every_period_inside_one_text(spark, window):
+    rows = []
+    for period in range(1, 26):
+        for times in (2, 3, 4, 6):
+            own = [f"p{period}x{times}w{i}" for i in range(60 + period)]
+            rows.append((len(rows), " ".join([*own[:30], *own[60:] * times, *own[30:60]])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substring_dedup.repeats(df, window=window).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows, window)
+
+
 def test_substring_rewrite(odd):
     got = substring_dedup.rewrite(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
