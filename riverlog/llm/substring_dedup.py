@@ -129,14 +129,13 @@ def _anchor_rows(window: int):
     return rows
 
 
-def _shared_rows(group_runs: int):
+def _shared_rows():
     """From rows sorted by (key, th): those of keys with two texts or a recurring
-    one, each text once, and a row without text for the size of every large key."""
-    schema = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("runs", pa.int64())])
+    one, each text once."""
+    schema = pa.schema([("key", pa.int64()), ("th", pa.int64())])
 
-    def out(key, th, runs=None):
-        size = pa.nulls(len(key), pa.int64()) if runs is None else pa.array(runs)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th), size], schema=schema)
+    def out(key, th):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th)], schema=schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None  # (key, th, recurring, texts so far, whether the first was emitted)
@@ -165,24 +164,15 @@ def _shared_rows(group_runs: int):
             # the last text stays open: more rows of it may follow
             emit = mark[:-1]
             yield out(key[:-1][emit], th[:-1][emit])
-            large = np.flatnonzero(open_sizes[:-1] > group_runs)
-            if len(large):
-                yield out(key[group[large]], _nulls(len(large)), open_sizes[large])
             last_shared = bool(shared[-1])
             state = (key[-1], th[-1], bool(again[-1]) or last_shared, int(open_sizes[-1]) - 1)
         if state is not None:
             if state[2] or state[3] >= 1:
                 yield out(np.array([state[0]]), np.array([state[1]]))
-            if state[3] + 1 > group_runs:
-                yield out(np.array([state[0]]), _nulls(1), np.array([state[3] + 1]))
 
     return rows
 
 
-def _nulls(size: int) -> pa.Array:
-    return pa.nulls(size, pa.int64())
-
-
 def _run_rows(window: int):
     """Runs whose anchor is among the text's shared ones, with their windows' hashes."""
     schema = pa.schema(
@@ -315,14 +305,13 @@ def _marks(texts: DataFrame, window: int, group_runs: int) -> tuple[DataFrame, D
     """Masks of later windows by (doc_id, pos), and the texts that repeat an earlier one whole."""
     anchors = texts.select("text", "th").mapInArrow(_anchor_rows(window), "key bigint, th bigint, twice boolean")
     shared = written(
-        anchors.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_shared_rows(group_runs), "key bigint, th bigint, runs bigint"),
+        anchors.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_shared_rows(), "key bigint, th bigint"),
         "shared-prefixes",
     )
     names = written(texts.select("doc_id", "th", "tag", F.md5("text").alias("sum")).distinct(), "text-names")
     firsts = names.groupBy("sum").agg(F.min("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("tag").alias("tag"))
     keys = (
-        shared.where("th IS NOT NULL")
-        .join(firsts, "th")
+        shared.join(firsts, "th")
         .groupBy("doc_id", "th")
         .agg(F.collect_set("key").alias("keys"))
     )
@@ -333,7 +322,9 @@ def _marks(texts: DataFrame, window: int, group_runs: int) -> tuple[DataFrame, D
         .mapInArrow(_run_rows(window), "key bigint, doc_id bigint, pos bigint, hashes binary")
     )
     runs = written(runs, "suffix-runs")
-    large = shared.where("th IS NULL").select("key")
+    # runs, not texts: one text may hold any number of a key's
+    sizes = runs.groupBy("key").agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > group_runs).select("key"), "large-groups")
     marks = (
         runs.join(large, "key", "left_anti")
         .repartition("key")

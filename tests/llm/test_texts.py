@@ -173,6 +173,24 @@ def test_repeats_of_every_period_inside_one_text(spark, window):
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, window)
 
 
+def test_many_runs_of_few_texts_are_a_large_group(spark, monkeypatch):
+    tables = {}
+
+    def keeping(df, name, made=substring_dedup.written):
+        tables[name] = made(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(substring_dedup, "written", keeping)
+    phrase = " ".join(f"q{i}" for i in range(24))
+    rows = [(n, " ".join(f"{phrase} " + " ".join(f"d{n}-{k}-{i}" for i in range(25)) for k in range(12))) for n in range(2)]
+    df = spark.createDataFrame([*rows, (5, rows[0][1][:200])], "doc_id bigint, text string")
+    got = substring_dedup.repeats(df, group_runs=8).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == plain_repeats(rows_of(df), 20)
+    count = collections.Counter(r.key for r in tables["suffix-runs"].collect())
+    large = {r.key for r in tables["large-groups"].collect()}
+    assert large == {key for key, n in count.items() if n > 8} and large
+
+
 def test_substring_rewrite(odd):
     got = substring_dedup.rewrite(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
