@@ -1,9 +1,9 @@
-"""Repeated passages of ``window`` words, found by prefix-partitioned suffix trees.
+"""Repeated passages of ``window`` words, found by groups of window hashes.
 
-The suffixes of all texts, each cut at ``window`` words, are split into groups
-by a prefix, and every group is sorted into a subtree of its own.  The inner
-nodes of a subtree at depth ``window`` with two suffixes or more are the
-repeats; maximal repeats are runs of neighbouring starts below such nodes.
+No suffix is sorted and no suffix tree is built: 64-bit hashes of whole windows stand
+for the suffixes cut at ``window`` words, and equal hashes in a group for the nodes at
+that depth.  Of the windows with one hash all but the first are repeats; maximal
+repeats are runs of neighbouring starts of such windows.
 
 Sparse starts.  Every window holds an anchor: among its ``PREFIX``-word grams
 the one of the smallest hash.  Equal windows have equal anchors, so windows are
@@ -11,10 +11,10 @@ grouped by their anchor gram, and neighbouring windows that share an anchor
 travel as one row (a run).  Only anchors that occur twice anywhere travel at
 all; the rest cannot be repeated.
 
-Variable length.  A prefix of more than ``GROUP_RUNS`` runs is lengthened to
+Two lengths.  A group of more than ``GROUP_RUNS`` runs is split by the hash of
 the whole window: its windows are spread by their own hash and reduced to the
 first start with partial aggregation, so no task holds a hot passage.  All
-other subtrees fit in ``GROUP_RUNS`` runs of at most 64 windows.
+other groups fit in ``GROUP_RUNS`` runs of at most ``RUN_WINDOWS`` windows.
 
 Equal texts are reduced to the first of them beforehand.
 
