@@ -121,10 +121,13 @@ class Tree:
         )
 
     def read_back(self) -> DataFrame:
-        """Per conversation, from the emitted texts along its path: conv_id, n_turns,
-        turns_sha256, loss_chars, loss_sha256 and formatted_chars."""
-        rows = self.paths.select("conv_id", "depth", "node").join(self.nodes.select("node", "segment"), "node")
-        rows = rows.select("conv_id", "depth", "segment").repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+        """Per conversation, from the emitted texts at the positions it attends to: conv_id,
+        n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars."""
+        seen = self.intervals().select("conv_id", "owner", F.col("begin").alias("first"), F.col("end").alias("last"))
+        output = self.emitted().select("branch", "begin", "end", "segment")
+        within = (F.col("begin") >= F.col("first")) & (F.col("end") <= F.col("last"))
+        rows = seen.join(output, F.col("owner").eqNullSafe(F.col("branch")) & within)
+        rows = rows.select("conv_id", "begin", "segment").repartition("conv_id").sortWithinPartitions("conv_id", "begin")
         return rows.mapInArrow(
             _digest_rows,
             "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",

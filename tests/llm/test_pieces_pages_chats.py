@@ -150,3 +150,16 @@ def test_shared_turns_are_emitted_once(spark):
     assert sorted(seen[3]) == [(1, 0, begin[1, 1][1]), (3, *begin[3, 2])]
     order = [r.branch for r in sorted(emitted, key=lambda r: ([tuple(o) for o in r.order], r.depth)) if r.branch in (1, 2, 3)]
     assert order == [1, 1, 1, 3, 2]
+
+
+def test_reading_back_follows_the_output_and_its_intervals(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "user", "a"), (2, 1, "assistant", "d"),
+            (3, 0, "user", "a"), (3, 1, "assistant", "b"), (None, 0, "user", "e"), (None, 1, "user", "e")]
+    tree = chat_tree.Tree(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    turns = {r.conv_id: r.n_turns for r in tree.read_back().collect()}
+    assert turns == {1: 3, 2: 2, 3: 2, None: 2}
+    emitted, intervals = tree.emitted(), tree.intervals()
+    tree.emitted = lambda: emitted.where("NOT (branch <=> 1 AND depth = 0)")
+    assert {r.conv_id: r.n_turns for r in tree.read_back().collect()} == {1: 2, 2: 1, 3: 1, None: 2}
+    tree.emitted, tree.intervals = lambda: emitted, lambda: intervals.where("NOT (conv_id <=> 3)")
+    assert {r.conv_id: r.n_turns for r in tree.read_back().collect()} == {1: 3, 2: 2, None: 2}
