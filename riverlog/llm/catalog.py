@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riverlog.llm import (
     chat_tree,
+    context_tree,
     fingerprints,
     html_extract,
     mixing,
@@ -97,6 +98,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_quality_grade": op9_quality_grade,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_language_model": op11_language_model,
 }
 
 ORACLES: dict[str, str] = {}
