@@ -16,11 +16,13 @@ from riverlog.llm import (
     mixing,
     near_dedup,
     pieces,
+    prefix_trie,
     quality_grade,
     quality_rules,
     substring_dedup,
     toxicity,
 )
+from riverlog.llm.oracles import ORACLES
 from riverlog.llm.tables import read, written
 
 
@@ -102,6 +104,11 @@ def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.conversations(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_grade": op9_quality_grade,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_language_model": op11_language_model,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
