@@ -12,6 +12,7 @@ from riverlog.llm import (
     chat_tree,
     context_tree,
     fingerprints,
+    hard_negatives,
     html_extract,
     mixing,
     near_dedup,
@@ -109,6 +110,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.conversations(turns)))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_language_model": op11_language_model,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
