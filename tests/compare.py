@@ -41,7 +41,7 @@ def bag(columns: list[str], rows: list[tuple]) -> collections.Counter:
 
 def family(name: str) -> str:
     name = name.lower()
-    for kind in ("bigint", "string", "varchar", "double", "boolean"):
+    for kind in ("bigint", "string", "varchar", "double", "boolean", "int"):
         if name.startswith(kind):
             return {"varchar": "string"}.get(kind, kind)
     return name
