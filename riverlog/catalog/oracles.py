@@ -219,8 +219,24 @@ FROM events WHERE event_type IN ('error', 'purchase')""",
 SELECT ts_us, level, message, source AS origin, user_id, value FROM logs""",
     "fan_out": """SELECT s AS source, (SELECT count(*) FROM events) AS lines, 'disk full' AS errors
 FROM (VALUES ('a'), ('b')) AS t(s)""",
-    "http_delivery": """SELECT count(*) FILTER (WHERE event_type <> 'error') AS delivered,
-       count(*) FILTER (WHERE event_type = 'error') AS failed FROM events""",
+    "http_delivery": f"""WITH {_LOGS}
+SELECT level, count(*) AS entries, sum(user_id)::BIGINT AS users, max(message) AS last_message,
+       (SELECT count(*) FROM events) AS delivered, 0::BIGINT AS failed
+FROM logs GROUP BY level""",
+    "dead_letters": f"""WITH {_LOGS}
+SELECT CASE level WHEN 'error' THEN 'alerts' ELSE 'delivered' END AS sink,
+       CASE level WHEN 'error' THEN 3::BIGINT END AS attempts, level, message, user_id, value
+FROM logs""",
+    "one_pass_delivery": f"""WITH {_LOGS}, sent AS (
+  SELECT 'all' AS sink, level AS folder, * FROM logs
+  UNION ALL SELECT 'sample', '', * FROM logs
+    WHERE ('0x' || substr(md5(concat(event_id, '7')), 1, 8))::BIGINT / 4294967296.0 < 0.25
+  UNION ALL SELECT 'alerts', '', * FROM logs WHERE level = 'error'
+  UNION ALL SELECT 'money', source, * FROM logs WHERE level <> 'error' AND event_type IN ('purchase', 'error'))
+SELECT sink, folder, count(*) AS entries, sum(user_id)::BIGINT AS users, min(message) AS first_message
+FROM sent GROUP BY sink, folder""",
+    "job_resume": f"""WITH {_LOGS}
+SELECT event_id, 1::BIGINT AS deliveries, level FROM logs""",
     "delivery_watermark": f"""WITH {_MARKS}
 SELECT source, strftime(mark, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS watermark FROM marks""",
     "incremental_resume": f"""WITH {_LOGS}, placed AS (

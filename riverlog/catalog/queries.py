@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,13 @@ from riverlog.model import FIELDS, FieldRule, MatchRule, RedactRule, RenameRule,
 from riverlog.operators import batching, buffer, dedup, envelope, multiline, observe, predicates, rate, rewrite, watermark
 from riverlog.operators import route as routing
 from riverlog.operators.parse import malformed_lines, parse_logs, to_json_lines
+from riverlog.plans.commits import CommitLog
 from riverlog.plans.job import build_job
 from riverlog.plans.storage import scratch_path
-from riverlog.sinks.basic import FileSink, write_each
-from riverlog.sinks.http import HttpSink
+from riverlog.sinks.basic import FileSink, FilteredSink, RetrySink, RouterSink, write_each
+from riverlog.sinks.basic import fan_out as fan_out_to
+from riverlog.sinks.http import HttpSource
+from riverlog.sinks.outlets import filesystem, qualified, read_dead_letters
 from riverlog.sinks.retry import RetryPolicy
 from riverlog.sources.files import Source, read_logs, union_sources
 from riverlog.sources.tail import tail_logs
@@ -377,28 +381,103 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _receiver() -> Callable[[str, bytes, Mapping[str, str]], int]:
-    """An endpoint in the task itself, no network: turns down errors for good
-    and purchases once."""
-    turned_down: set[bytes] = set()
+def http_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines through the data source, a hundred to a request, into an outbox;
+    read back from the requests, beside the totals of the commit messages."""
+    outbox, report = (qualified(spark, scratch_path(spark, name)) for name in ("outbox", "http-report"))
+    spark.dataSource.register(HttpSource)
+    options = {"url": outbox, "per_request": "100", "report": report, "client": "riverlog.sinks.http:outbox_client"}
+    lines = to_json_lines(X.logs(spark, sf_dir))
+    lines.write.format(HttpSource.name()).mode("append").options(**options, **{"header.X-Team": "logs"}).save()
+    shape = "array<struct<level string, message string, fields struct<user_id bigint>>>"
+    bodies = spark.read.text(outbox, wholetext=True).select(F.explode(F.from_json("value", shape)).alias("e"))
+    totals = spark.read.json(report).first()  # the only record: one sink, one batch
+    found = bodies.groupBy(F.col("e.level").alias("level")).agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.sum("e.fields.user_id").alias("users"),
+        F.max("e.message").alias("last_message"),
+    )
+    return found.withColumns({name: F.lit(totals[name]) for name in ("delivered", "failed")})
+
+
+def _blocked(spark: SparkSession) -> str:
+    """A folder that cannot be made: its parent is a file."""
+    path = qualified(spark, scratch_path(spark, "blocker"))
+    spark.range(1).selectExpr("'x' AS value").coalesce(1).write.text(path)
+    store, folder = filesystem(path)
+    files = [info.path for info in store.get_file_info(fs.FileSelector(folder)) if info.base_name.startswith("part-")]
+    return f"{path}/{files[0].rpartition('/')[2]}/sink"
+
+
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors go to a sink that is down, the rest to one that works: three
+    attempts, then every error entry is a dead letter, whole."""
+    good, dead = scratch_path(spark, "delivered"), scratch_path(spark, "dead")
+    down = RetrySink(FileSink(_blocked(spark), name="alerts"), RetryPolicy(3, base_delay=0.0), dead)
+    router = RouterSink([Route("level", ["error"], "alerts")], {"alerts": down, "rest": FileSink(good)}, "rest")
+    router.write(X.logs(spark, sf_dir))
+    letters = read_dead_letters(spark, dead)
+    delivered = read_logs(spark, good).select(F.lit("delivered").alias("sink"), "value", F.lit(None).cast("int").alias("attempts"))
+    both = delivered.unionByName(letters.select("sink", F.col("entry").alias("value"), "attempts"))
+    shape = "level string, message string, fields struct<user_id bigint, value double>"
+    entry = both.withColumn("e", F.from_json("value", shape))
+    return entry.select(
+        "sink",
+        F.col("attempts").cast("bigint").alias("attempts"),
+        F.col("e.level").alias("level"),
+        F.col("e.message").alias("message"),
+        F.col("e.fields.user_id").alias("user_id"),
+        F.col("e.fields.value").alias("value"),
+    )
 
-    def post(url: str, body: bytes, headers: Mapping[str, str]) -> int:
-        if b'"level":"error"' in body:
-            return 500
-        if b'"level":"warn"' in body and body not in turned_down:
-            turned_down.add(body)
-            return 503
-        return 204
 
-    return post
+def one_pass_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sinks in one job: everything by level, a sample, two routes."""
+    out = scratch_path(spark, "one-pass")
+    sampled = FilteredSink(lambda: predicates.keep_expression(0.25, 7, "event_id"), FileSink(f"{out}/sample"))
+    routes = {"alerts": FileSink(f"{out}/alerts"), "money": FileSink(f"{out}/money", ("source",))}
+    fan_out_to(X.logs(spark, sf_dir), [FileSink(f"{out}/all", ("level",)), sampled, RouterSink(_ROUTES, routes)])
+    shape = "level string, message string, fields struct<user_id bigint>"
+    parts = []
+    for name, folder in (("all", "level"), ("sample", None), ("alerts", None), ("money", "source")):
+        rows = spark.read.text(f"{out}/{name}").withColumn("e", F.from_json("value", shape))
+        label = F.lit("") if folder is None else F.col(folder).cast("string")
+        parts.append(rows.select(F.lit(name).alias("sink"), label.alias("folder"), "e"))
+    found = functools.reduce(DataFrame.unionByName, parts)
+    return found.groupBy("sink", "folder").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.sum("e.fields.user_id").alias("users"),
+        F.min("e.message").alias("first_message"),
+    )
 
 
-def http_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sink = HttpSink(
-        "http://collector.invalid/ingest", retry=RetryPolicy(2, base_delay=0.0), client=_receiver
+class _StopsBeforeCommit(CommitLog):
+    """Stands for a driver that dies when the sinks have their entries."""
+
+    def commit(self, batch_id: int, delivered: DataFrame) -> bool:
+        raise InterruptedError("stopped before the commit")
+
+
+def job_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job is stopped between sinks and commit, restarted, and run again after
+    more lines came: each line is delivered once, and none is lost."""
+    lines, out, commits = (scratch_path(spark, name) for name in ("resume-in", "resume-out", "resume-log"))
+    short = X.short_lines(spark, sf_dir)
+    spec = {"sources": [{"path": f"{lines}/*.txt", "label": "app"}], "sinks": [{"type": "file", "path": out}]}
+    job = build_job(spec)
+    for late in (False, True):
+        short.where(F.col("event_id") % 3 == 2 if late else F.col("event_id") % 3 != 2).select("value").write.mode(
+            "append"
+        ).text(lines)
+        for log in (_StopsBeforeCommit(spark, commits), CommitLog(spark, commits), CommitLog(spark, commits)):
+            try:
+                job.run(spark, log)
+            except InterruptedError:
+                pass
+    delivered = parse_logs(read_logs(spark, out, "out"), now=X.now())
+    return delivered.groupBy(F.regexp_extract("message", "[0-9]+", 0).cast("bigint").alias("event_id")).agg(
+        F.count(F.lit(1)).alias("deliveries"), F.max("level").alias("level")
     )
-    outcomes = sink.outcomes(X.logs(spark, sf_dir))
-    return outcomes.agg(F.sum("delivered").alias("delivered"), F.sum("failed").alias("failed"))
 
 
 def _last_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -547,6 +626,9 @@ QUERIES: dict[str, Query] = {
     "file_sink_roundtrip": file_sink_roundtrip,
     "fan_out": fan_out,
     "http_delivery": http_delivery,
+    "dead_letters": dead_letters,
+    "one_pass_delivery": one_pass_delivery,
+    "job_resume": job_resume,
     "delivery_watermark": delivery_watermark,
     "incremental_resume": incremental_resume,
     "spec_job": spec_job,

@@ -19,17 +19,20 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from riverlog.model import DEFAULT_CAPACITY, Route, RuleError, require
 from riverlog.operators.buffer import keep_latest
 from riverlog.operators.parse import parse_logs
-from riverlog.operators.predicates import keep_expression, sample_logs
-from riverlog.plans.storage import scratch_path
+from riverlog.operators.predicates import keep_expression
+from riverlog.plans.commits import CommitLog, undelivered
 from riverlog.sinks.basic import (
     ConsoleSink,
     FileSink,
+    FilteredSink,
+    RetrySink,
     RouterSink,
     Sink,
     TransformedSink,
@@ -44,12 +47,15 @@ Spec = Mapping[str, Any]
 
 _FALLBACK = "fallback"
 
+# Total up to lines that are the same in all they hold.
+ARRIVAL = ("timestamp", "source", "raw")
+
 
 @dataclass(frozen=True)
 class SinkContext:
     """What sinks share: the arrival order, the console, the HTTP client."""
 
-    order: tuple[str, ...] = ("timestamp",)
+    order: tuple[str, ...] = ARRIVAL
     out: Any = None
     client: Any = open_client
 
@@ -93,7 +99,14 @@ def build_sink(spec: Spec, where: str = "sink", context: SinkContext = SinkConte
             keep_expression(rate, seed, None)
         except RuleError as error:
             raise RuleError(f"{where}: {error}") from None
-        return TransformedSink(lambda df: sample_logs(df, rate, seed, key), inner)
+        return FilteredSink(lambda: keep_expression(rate, seed, key), inner)
+    if kind == "retry":
+        inner = _inner(spec, where, kind, context)
+        try:
+            policy = RetryPolicy(**spec.get("retry", {}))
+        except (RuleError, TypeError) as error:
+            raise RuleError(f"{where}: {error}") from None
+        return RetrySink(inner, policy, spec.get("dead_letters"))
     if kind == "router":
         return _router(spec, where, context)
     raise RuleError(f"{where}: unknown type {kind!r}")
@@ -125,38 +138,71 @@ class Job:
     sinks: tuple[Sink, ...]
     raw: bool = False
 
-    def entries(self, spark: SparkSession) -> tuple[DataFrame, list[Source]]:
+    def entries(self, spark: SparkSession, with_position: bool = False) -> tuple[DataFrame, list[Source]]:
         """All entries of all sources, and the sources that could not be opened."""
-        lines, skipped = union_sources(spark, self.sources)
+        lines, skipped = union_sources(spark, self.sources, with_position)
         return parse_logs(lines, raw=self.raw), skipped
 
-    def run(self, spark: SparkSession) -> list[Source]:
-        """Deliver everything that is there now; returns the skipped sources."""
-        entries, skipped = self.entries(spark)
-        fan_out(entries, self.sinks)
+    def run(self, spark: SparkSession, commits: str | CommitLog | None = None) -> list[Source]:
+        """Deliver everything that is there now; returns the skipped sources.
+
+        With ``commits``, a shared folder, a run delivers what no earlier run has:
+        entries behind the committed place of their file.  Marks are committed
+        after all sinks have succeeded; a run that stops before that is repeated
+        by the next one under the same batch id.  Files may grow and be added;
+        for files that are replaced use ``start``.
+        """
+        if commits is None:
+            entries, skipped = self.entries(spark)
+            fan_out(entries, self.sinks)
+            return skipped
+        log = commits if isinstance(commits, CommitLog) else CommitLog(spark, commits)
+        entries, skipped = self.entries(spark, with_position=True)
+        latest = log.latest()
+        self.deliver(undelivered(entries, log), 0 if latest is None else latest + 1, log)
         return skipped
 
-    def deliver(self, entries: DataFrame, batch_id: int | None = None) -> None:
-        fan_out(entries, self.sinks, batch_id)
+    def deliver(self, entries: DataFrame, batch_id: int | None = None, log: CommitLog | None = None) -> None:
+        """Give a batch to all sinks, then commit it; a committed one is skipped."""
+        if log is not None and log.committed(batch_id):
+            return
+        if log is None:
+            fan_out(entries, self.sinks, batch_id)
+            return
+        entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fan_out(entries, self.sinks, batch_id, held=True)
+            log.commit(batch_id, entries)
+        finally:
+            entries.unpersist()
 
     def start(
         self,
         spark: SparkSession,
-        checkpoint: str | None = None,
+        checkpoint: str,
         start: str = "latest",
         trigger: Mapping[str, Any] | None = None,
+        log: CommitLog | None = None,
     ) -> StreamingQuery:
         """Follow all sources as one stream.  Files that are missing are picked
-        up when they appear.  Delivery is at least once: a failed micro-batch is
-        replayed whole, under the same batch id."""
+        up when they appear.
+
+        ``checkpoint`` keeps the places in the files and, under ``delivered``, the
+        commits: a restart goes on behind the last batch, whatever ``start`` says.
+        A batch whose sinks have not all succeeded is replayed whole, under its
+        batch id; file sinks replace what they had of it, and a batch that was
+        committed before is not delivered again.
+        """
+        require(bool(checkpoint), "job: a checkpoint folder is required to follow sources")
+        log = log or CommitLog(spark, checkpoint, "delivered")
         lines = functools.reduce(
             DataFrame.unionByName,
             [tail_logs(spark, source.path, source.label, start) for source in self.sources],
         )
         return (
             parse_logs(lines, raw=self.raw)
-            .writeStream.foreachBatch(self.deliver)
-            .option("checkpointLocation", checkpoint or scratch_path(spark, "job"))
+            .writeStream.foreachBatch(functools.partial(self.deliver, log=log))
+            .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "250 milliseconds"}))
             .start()
         )
@@ -164,7 +210,7 @@ class Job:
 
 def build_job(
     spec: Spec,
-    order: Sequence[str] = ("timestamp",),
+    order: Sequence[str] = ARRIVAL,
     out: Any = None,
     client: Any = open_client,
 ) -> Job:

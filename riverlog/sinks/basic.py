@@ -7,17 +7,20 @@ batch id lets a sink recognise a replayed micro-batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from riverlog.functions.text import entry_json
 from riverlog.model import Route, require
 from riverlog.operators.parse import to_json_lines
-from riverlog.operators.route import ROUTE, route
+from riverlog.operators.route import ROUTE, route, route_expression
+from riverlog.sinks.http import HttpSink
+from riverlog.sinks.outlets import Branch, ConsoleOutlet, FileOutlet, failure_text, save
+from riverlog.sinks.retry import RetryPolicy
 
 
 class Sink(Protocol):
@@ -87,6 +90,38 @@ class TransformedSink:
         self.inner.write(self.operator(entries), batch_id)
 
 
+@dataclass(frozen=True)
+class FilteredSink:
+    """Give the inner sink the entries for which a condition holds."""
+
+    condition: Callable[[], Column]
+    inner: Sink
+
+    def write(self, entries: DataFrame, batch_id: int | None = None) -> None:
+        self.inner.write(entries.where(self.condition()), batch_id)
+
+
+@dataclass(frozen=True)
+class RetrySink:
+    """Try deliveries of the inner sink again, in the tasks.
+
+    What is still undelivered after the last attempt is raised at the end, or
+    kept in the folder ``dead_letters`` with its error and the attempts made.
+    Works for console, file and HTTP sinks and for what filters or routes to
+    them; a sink of your own is tried again as a whole, on the driver.
+    """
+
+    inner: Sink
+    retry: RetryPolicy
+    dead_letters: str | None = None
+
+    def write(self, entries: DataFrame, batch_id: int | None = None) -> None:
+        if branches_of(self, entries) is None:
+            self.retry.run(lambda: self.inner.write(entries, batch_id))
+        else:
+            raise_joined(write_each(entries, [("", self)], batch_id))
+
+
 @dataclass(frozen=True)
 class RouterSink:
     """Give every entry to the sink of its route, or to the fallback."""
@@ -96,6 +131,9 @@ class RouterSink:
     fallback: str | None = field(default=None)
 
     def write(self, entries: DataFrame, batch_id: int | None = None) -> None:
+        if branches_of(self, entries) is not None:
+            raise_joined(write_each(entries, [("", self)], batch_id))
+            return
         routed = route(entries, self.routes, self.fallback)
         errors = write_each(
             routed,
@@ -108,32 +146,88 @@ class RouterSink:
         raise_joined(errors)
 
 
+def branches_of(sink: Sink, entries: DataFrame) -> list[Branch] | None:
+    """The sink as outlets of a single pass; None where it needs a job of its
+    own: a sink of the user's, lines for the driver, an operator on many rows."""
+    match sink:
+        case FileSink():
+            return [Branch(FileOutlet(sink.name, path=sink.path, partition_by=tuple(sink.partition_by)))]
+        case HttpSink():
+            return [Branch(sink.outlet())]
+        case ConsoleSink(out=None):
+            return [Branch(ConsoleOutlet("console"))]
+        case FilteredSink():
+            return _narrowed(branches_of(sink.inner, entries), sink.condition())
+        case RetrySink():
+            inner = branches_of(sink.inner, entries)
+            if inner is None:
+                return None
+            return [
+                replace(b, outlet=replace(b.outlet, retry=sink.retry, dead_letters=sink.dead_letters)) for b in inner
+            ]
+        case RouterSink():
+            taken = route_expression(sink.routes, sink.fallback)
+            found: list[Branch] = []
+            for name, inner in sink.sinks.items():
+                branches = _narrowed(branches_of(inner, entries), taken == name)
+                if branches is None:
+                    return None
+                found += branches
+            return found
+    return None
+
+
+def _narrowed(branches: list[Branch] | None, condition: Column) -> list[Branch] | None:
+    if branches is None:
+        return None
+    return [replace(b, condition=condition if b.condition is None else condition & b.condition) for b in branches]
+
+
 class FanOutError(RuntimeError):
     """At least one sink failed; all others got their entries."""
 
 
 def write_each(
-    entries: DataFrame, sinks: Sequence[tuple[str, Sink]], batch_id: int | None = None
+    entries: DataFrame, sinks: Sequence[tuple[str, Sink]], batch_id: int | None = None, held: bool = False
 ) -> list[str]:
     """Write to every sink; collect what failed instead of stopping.
 
-    With several sinks the entries are persisted for the time of the writes, so
-    that lines are read and parsed once.  Lost blocks are recomputed by Spark.
+    All sinks that can be outlets of a single pass share one job over the
+    entries.  Only where other sinks need jobs of their own besides are the
+    entries persisted, so that lines are read and parsed once (``held``: the
+    caller has done so).  Lost blocks are recomputed by Spark.
     """
-    errors: list[str] = []
-    shared = len(sinks) > 1
-    if shared:
+    shared = [(n, branches) for n, (_, sink) in enumerate(sinks) if (branches := branches_of(sink, entries)) is not None]
+    if len(shared) == 1 and isinstance(sinks[shared[0][0]][1], FileSink):
+        shared = []  # Spark's own writer is the shorter way
+    apart = [n for n in range(len(sinks)) if n not in dict(shared)]
+    errors: dict[int, str] = {}
+    persist = len(apart) + bool(shared) > 1 and not held
+    if persist:
         entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for _, sink in sinks:
+        if shared:
             try:
-                sink.write(entries, batch_id)
+                outcomes = iter(save(entries, [b for _, branches in shared for b in branches], batch_id))
+                for number, branches in shared:
+                    failed = [
+                        failure_text(branch.outlet, outcome)
+                        for branch, outcome in zip(branches, outcomes)
+                        if outcome.failed and branch.outlet.dead_letters is None
+                    ]
+                    if failed:
+                        errors[number] = "; ".join(failed)
+            except Exception as error:  # noqa: BLE001 - the other sinks still get their entries
+                errors |= {number: str(error) for number, _ in shared}
+        for number in apart:
+            try:
+                sinks[number][1].write(entries, batch_id)
             except Exception as error:  # noqa: BLE001 - isolation between sinks is the point
-                errors.append(str(error))
+                errors[number] = str(error)
     finally:
-        if shared:
+        if persist:
             entries.unpersist()
-    return errors
+    return [errors[number] for number in sorted(errors)]
 
 
 def raise_joined(errors: Sequence[str]) -> None:
@@ -141,7 +235,9 @@ def raise_joined(errors: Sequence[str]) -> None:
         raise FanOutError("fanout errors: " + "; ".join(errors))
 
 
-def fan_out(entries: DataFrame, sinks: Sequence[Sink], batch_id: int | None = None) -> None:
+def fan_out(
+    entries: DataFrame, sinks: Sequence[Sink], batch_id: int | None = None, held: bool = False
+) -> None:
     """Every sink gets every entry; errors are raised together at the end."""
     if sinks:
-        raise_joined(write_each(entries, [("", sink) for sink in sinks], batch_id))
+        raise_joined(write_each(entries, [("", sink) for sink in sinks], batch_id, held))

@@ -156,9 +156,17 @@ class LineFiles(DataSource):
         return "line_files"
 
     @staticmethod
-    def encode(paths: Sequence[str], start: str = "earliest", range_bytes: int = RANGE_BYTES) -> dict[str, str]:
+    def encode(
+        paths: Sequence[str], start: str = "earliest", range_bytes: int = RANGE_BYTES, frozen: bool = False
+    ) -> dict[str, str]:
+        """Options of the source.  ``frozen`` fixes the files and the ends of their
+        whole lines now: every run of the plan then reads the same bytes."""
         mounted = [_mounted(path) for path in paths]
-        return {"paths": json.dumps(mounted), "start": start, "rangeBytes": str(range_bytes)}
+        options = {"paths": json.dumps(mounted), "start": start, "rangeBytes": str(range_bytes)}
+        if frozen:
+            found = _expand(options)
+            options["ends"] = json.dumps({path: last_line_end(path, os.path.getsize(path)) for path in found})
+        return options
 
     def schema(self) -> str:
         return _SCHEMA
@@ -180,9 +188,11 @@ class _BatchReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> Sequence[InputPartition]:
+        frozen = self.options.get("ends")
+        ends = json.loads(frozen) if frozen else {path: os.path.getsize(path) for path in _expand(self.options)}
         ranges: list[ByteRange] = []
-        for path in _expand(self.options):
-            ranges += split_ranges(path, 0, os.path.getsize(path), _range_bytes(self.options))
+        for path, end in ends.items():
+            ranges += split_ranges(path, 0, end, _range_bytes(self.options))
         return ranges
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
