@@ -16,8 +16,9 @@ their bytes.
 
 Results for odd input: a null text is encoded as an empty one, which has no
 tokens; equal texts have equal tokens; whole texts are encoded whatever their
-length, with memory in proportion to the text; extra columns stay in
-``encode_column`` and are not read by ``digests``.
+length, with memory in proportion to the text; an empty table stays empty; extra
+columns stay in ``encode_column`` and ``decode_column``, which replace a column
+named like their result, and are not read by ``digests``.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-# Units and pairs remembered per Python worker; when full, they are forgotten.
-UNITS = 400_000
+# Units remembered per Python worker, in two generations: when the young one is
+# full it becomes the old one, and what is met again moves back.  Pairs likewise
+# are forgotten when full.
+UNITS = 200_000
 PAIRS = 1_000_000
 UNIT_CHARS = 48
 
@@ -88,13 +91,17 @@ class PieceCoder:
         self._marked = {i for piece, i in self.ids.items() if piece.startswith(MARK)}
         across = any(MARK in piece.lstrip(MARK) for piece in self.ids)
         self._unit = re.compile("(?s).+") if across else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self._by_space = not across
         self._automaton = ahocorasick.Automaton()
         for piece in self.ids:
             if merged(piece, self.scores) == [piece]:
                 self._automaton.add_word(piece, piece)
         self._automaton.make_automaton()
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._units: dict[str, tuple[str, str]] = {}
+        # by unit without its first mark: ids in decimal, and decoded text
+        self._ids: dict[str, str] = {}
+        self._texts: dict[str, str] = {}
+        self._old: tuple[dict[str, str], dict[str, str]] = {}, {}
 
     def _compatible(self, left: str, right: str) -> bool:
         known = self._pairs.get((left, right))
@@ -167,21 +174,37 @@ class PieceCoder:
         # only a piece brings the space that encoding put in front; a byte or the unknown does not
         return text[1:] if lead in self._marked else text
 
-    def _unit_texts(self, unit: str) -> tuple[str, str]:
-        known = self._units.get(unit)
-        if known is None:
-            ids = self.unit_ids(unit)
-            known = ",".join(map(str, ids)), self.decode(ids, first=False)
-            if len(unit) <= UNIT_CHARS:
-                if len(self._units) >= UNITS:
-                    self._units.clear()
-                self._units[unit] = known
-        return known
+    def _keys(self, text: str) -> list[str]:
+        """The units of a text, each without its first mark; every unit has one."""
+        if self._by_space and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [unit[1:] for unit in self._units_of(text)]
+
+    def _learn(self, key: str) -> None:
+        ids = self._old[0].get(key)
+        if ids is not None:
+            self._ids[key], self._texts[key] = ids, self._old[1][key]
+            return
+        numbers = self.unit_ids(MARK + key)
+        self._ids[key] = ",".join(map(str, numbers))
+        self._texts[key] = self.decode(numbers, first=False)
 
     def both(self, text: str) -> tuple[str, str]:
         """Ids in decimal, joined by commas, and the text decoded from them."""
-        texts = [self._unit_texts(unit) for unit in self._units_of(text)]
-        return ",".join([pair[0] for pair in texts]), "".join([pair[1] for pair in texts])[1:]
+        if not text:
+            return "", ""
+        keys = self._keys(text)
+        fresh = set(keys).difference(self._ids)
+        for key in fresh:
+            self._learn(key)
+        ids = ",".join(map(self._ids.__getitem__, keys))
+        decoded = "".join(map(self._texts.__getitem__, keys))[1:]
+        for key in fresh:
+            if len(key) >= UNIT_CHARS:
+                del self._ids[key], self._texts[key]
+        if len(self._ids) >= UNITS:
+            self._old, self._ids, self._texts = (self._ids, self._texts), {}, {}
+        return ids, decoded
 
 
 def _characters(data: bytes) -> bytes:
