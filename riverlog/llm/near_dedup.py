@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverlog.llm.components import components
+from riverlog.llm.components import components, rejoined, roots
 from riverlog.llm.tables import written
 from riverlog.llm.words import gram_hashes, mix, slices, span_hashes, words_of
 
@@ -338,7 +338,7 @@ def link_components(docs: DataFrame, miss: float = MISS) -> DataFrame:
     best = scored.groupBy("u").agg(F.max_by("v", F.struct("agree", -F.col("v"))).alias("v"))
     texts = named.where("doc_id IS NOT NULL AND text IS NOT NULL")
     links = written(verified(best, texts), "links-to-hubs")
-    first = components(links)
+    first = written(roots(links), "first-components")
 
     comp = F.coalesce("component", "node")
     rest = shared.where("n > 2").join(first, "node", "left").select("band", "node", "hub", comp.alias("comp"))
@@ -356,7 +356,7 @@ def link_components(docs: DataFrame, miss: float = MISS) -> DataFrame:
     read = texts.withColumnRenamed("doc_id", "node").hint("merge").join(clusters.join(sizes, "cluster"), "node")
     read = _dealt(read.drop("n_shingles"), "cluster")
     more = read.mapInArrow(_block_rows("cluster", _cluster_block, least), "u bigint, v bigint")
-    final = components(links.union(more))
+    final = rejoined(first, more)
 
     # a set's own node, then the component its node is in
     named_sets = nodes.select("k1", "k2", "n_shingles", "node").join(final, "node", "left")
