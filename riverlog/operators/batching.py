@@ -85,9 +85,9 @@ def assign_batches(
     at = micros(F.col(ts), df.schema[ts].dataType.simpleString())
     begin = F.lit(None).cast("bigint") if start is None else F.unix_micros(start)
     place = [*by, *[name for name in order if name not in by]]
-    narrow = df.select(*place, at.alias("_at"), begin.alias("_begin"))
-    cut = cut_rows(narrow, by, order, ["_at", "_begin"], chunks)
+    cut = cut_rows(df.withColumns({"_at": at, "_begin": begin}), by, order, ["_at", "_begin"], chunks)
     rows = cut.chunk(cut.narrow).drop("_key_of_chunk")
+    df = cut.rows.select(*df.columns)
     cut = _with_states(rows, by, max_size, step)
     batches = _number_rows(cut, by, order, max_size, step)
     # rows of one place are interchangeable: each takes one of the place's batch numbers

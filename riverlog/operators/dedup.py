@@ -6,21 +6,21 @@ dropped, is less than ``window`` earlier: every repeat restarts the clock.
 Time is cut into buckets as long as the window.  Two occurrences in one bucket
 are always closer than the window, so only the first entry of a (key, bucket)
 can survive, and whether it does depends on one number: the last occurrence in
-the bucket before.  That makes the operator skew-proof.  A line that fills a
-third of the table is reduced to one row per bucket in the map tasks (row_number
-<= 1 becomes a partial group limit, max a partial aggregate) and no window ever
-spans a whole key.
+the bucket before.  So the lines are reduced to one row per (key, bucket), its
+first entry and its last time, in one scan; a line that fills a third of the table
+is reduced in the map tasks (a partial aggregate), and no window ever spans a
+whole key.  These rows are written and linked to those of the bucket before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverlog.functions.timestamps import micros
 from riverlog.model import require
 from riverlog.plans.ordered import RunningSum, with_running
-from riverlog.plans.storage import ensure_checkpoint_dir
+from riverlog.plans.storage import written
 
 
 def _width(window: float) -> int:
@@ -40,11 +40,14 @@ def _bucketed(df: DataFrame, window: float, key: str | Column, ts: str) -> DataF
     ).withColumn("_bucket", F.col("_at") - F.pmod("_at", F.lit(width)))
 
 
-def _bucket_ends(bucketed: DataFrame, width: int) -> DataFrame:
-    """Per (key, bucket), the last occurrence in the bucket before."""
-    return bucketed.groupBy("_key", "_bucket").agg(F.max("_at").alias("_before")).select(
-        F.col("_key").alias("_end_key"), (F.col("_bucket") + width).alias("_end_bucket"), "_before"
+def _with_bucket_before(buckets: DataFrame, width: int) -> DataFrame:
+    """Add, to one row per (key, bucket) with its ``_last`` occurrence, the last
+    occurrence in the bucket before.  Only key, bucket and time are read twice."""
+    ends = buckets.select(
+        F.col("_key").alias("_end_key"), (F.col("_bucket") + width).alias("_end_bucket"), F.col("_last").alias("_before")
     )
+    match = (buckets["_key"] == ends["_end_key"]) & (buckets["_bucket"] == ends["_end_bucket"])
+    return buckets.join(ends, match, "left").drop("_end_key", "_end_bucket")
 
 
 def _starts_burst(width: int) -> Column:
@@ -61,15 +64,12 @@ def dedup_window(
     """Drop duplicates less than ``window`` seconds after their previous
     occurrence.  ``order`` names columns that break ties of ``ts``."""
     bucketed = _bucketed(df, window, key, ts)
-    first = Window.partitionBy("_key", "_bucket").orderBy("_at", *order)
-    heads = bucketed.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1)
-    ends = _bucket_ends(bucketed, _width(window))
-    joined = heads.join(
-        ends,
-        (heads["_key"] == ends["_end_key"]) & (heads["_bucket"] == ends["_end_bucket"]),
-        "left",
+    place = F.struct("_at", *order)
+    buckets = bucketed.groupBy("_key", "_bucket").agg(
+        F.min_by(F.struct(*df.columns), place).alias("_entry"), F.min("_at").alias("_at"), F.max("_at").alias("_last")
     )
-    return joined.where(_starts_burst(_width(window))).select(*[F.col(name) for name in df.columns])
+    linked = _with_bucket_before(written(buckets, "dedup-buckets"), _width(window))
+    return linked.where(_starts_burst(_width(window))).select("_entry.*")
 
 
 def dedup_bursts(
@@ -86,25 +86,16 @@ def dedup_bursts(
     over those rows only.
     """
     width = _width(window)
-    ensure_checkpoint_dir(df.sparkSession)
     # Written down once: measuring, linking and chaining all start from these
     # few rows instead of from the lines.
     buckets = (
         _bucketed(df, window, key, ts)
         .groupBy("_key", "_bucket")
         .agg(F.min("_at").alias("_at"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n"))
-        .checkpoint()
-    )
-    ends = buckets.select(
-        F.col("_key").alias("_end_key"),
-        (F.col("_bucket") + width).alias("_end_bucket"),
-        F.col("_last").alias("_before"),
     )
-    linked = buckets.join(
-        ends,
-        (buckets["_key"] == ends["_end_key"]) & (buckets["_bucket"] == ends["_end_bucket"]),
-        "left",
-    ).select("_key", "_bucket", "_at", "_last", "_n", _starts_burst(width).cast("int").alias("_head"))
+    buckets = written(buckets, "burst-buckets")
+    linked = _with_bucket_before(buckets, width)
+    linked = linked.select("_key", "_bucket", "_at", "_last", "_n", _starts_burst(width).cast("int").alias("_head"))
     numbered = with_running(
         linked, ["_key"], ["_bucket"], [RunningSum("_burst", F.col("_head"))], chunks
     )
@@ -124,7 +115,7 @@ def dedup_live_size(
 ) -> DataFrame:
     """One row: distinct lines still remembered when the last entry arrives,
     that is, last seen no more than ``window`` seconds before it."""
-    bucketed = _bucketed(df, window, key, ts)
-    newest = bucketed.agg(F.max("_at")).scalar()
-    live = bucketed.where(F.col("_at") >= newest - _width(window))
-    return live.select("_key").distinct().agg(F.count(F.lit(1)).alias("live_lines"))
+    lasts = _bucketed(df, window, key, ts).groupBy("_key").agg(F.max("_at").alias("_last"))
+    lasts = written(lasts, "last-seen")
+    newest = lasts.agg(F.max("_last")).scalar()
+    return lasts.where(F.col("_last") >= newest - _width(window)).agg(F.count(F.lit(1)).alias("live_lines"))

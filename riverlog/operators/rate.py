@@ -45,7 +45,7 @@ def shape_rate(
     at = micros(F.col(ts), df.schema[ts].dataType.simpleString())
     timed = df.withColumn("_at", at)
     cut = cut_rows(timed, by, order, ["_at"], chunks)
-    ranked = with_running(timed, by, order, [RowNumber("_i")], cut=cut, keep_chunks=True)
+    ranked = with_running(cut.rows, by, order, [RowNumber("_i")], cut=cut, keep_chunks=True)
     if rate == 0 or burst == 0:
         released = F.when((F.col("_i") <= burst), F.col("_at"))
     else:

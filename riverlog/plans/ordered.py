@@ -5,12 +5,15 @@ functions partitioned by a key.  A plain window sends each key to one task, and
 one log source may well hold a third of all rows.  So all rows are cut along
 ``(key, order)`` into chunks of about equal size, whatever the keys hold:
 
-* key, order and value columns, and no others, are computed once and written
-  (``checkpoint``); a range partitioning of them gives the chunk borders;
+* the rows are computed once and written, by column; a range partitioning of the
+  key and order columns, and no others, gives the chunk borders;
 * windows run inside ``(key, chunk)``; a summary with one row per key and chunk,
-  taken from the written columns, gives the value carried into each chunk; both
-  meet in an equi-join on ``(key, chunk)``, for which the rows are already
-  partitioned and sorted.  The rows are shuffled once.
+  taken from the written key, order and value columns, gives the value carried
+  into each chunk; both meet in an equi-join on ``(key, chunk)``, for which the
+  rows are already partitioned and sorted.  The rows are shuffled once.
+
+What the rows are made of, such as decoded lines, is thus made once.  Drop what
+is not needed before an ordered operator: all columns it is given are written.
 
 Tables of every size and keys of every size take this one plan.  A table has as
 many chunks as the session has shuffle partitions, so chunks are sized like the
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 
 from riverlog.functions.timestamps import micros
 from riverlog.model import require
-from riverlog.plans.storage import ensure_checkpoint_dir
+from riverlog.plans.storage import written
 
 _CHUNK = "_chunk"
 _KEY = "_key_of_chunk"
@@ -72,9 +75,10 @@ Running = RowNumber | RunningSum | RunningMax | Previous
 
 @dataclass(frozen=True)
 class Cut:
-    """Written key, order and value columns of some rows, and how they are cut;
+    """Written rows, their key, order and value columns, and how they are cut;
     reusable for the same rows, keys and order."""
 
+    rows: DataFrame
     narrow: DataFrame
     by: tuple[str, ...]
     order: tuple[str, ...]
@@ -111,14 +115,14 @@ def _place(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Column:
 def cut_rows(
     df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str] = (), chunks: int | None = None
 ) -> Cut:
-    """Write key, order and ``values`` columns and cut them into ``chunks``
-    (default: the shuffle partitions of the session) of about equal size."""
+    """Write the rows and cut them into ``chunks`` (default: the shuffle
+    partitions of the session) of about equal size."""
     require(len(order) > 0, "an arrival order needs at least one column")
     require(chunks is None or chunks >= 1, "the number of chunks must be at least 1")
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     columns = _distinct(by, order)
-    narrow = df.select(*columns, *[name for name in values if name not in columns]).checkpoint()
+    rows = written(df, "ordered-rows")
+    narrow = rows.select(*columns, *[name for name in values if name not in columns])
     wanted = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     firsts = (
         narrow.repartitionByRange(wanted, *columns)
@@ -129,7 +133,7 @@ def cut_rows(
     )
     found = firsts.agg(F.to_json(F.array_sort(F.collect_list("_place"))).alias("borders"))
     kind = firsts.schema["_place"].dataType.simpleString()
-    return Cut(narrow, tuple(by), tuple(order), found.first()["borders"], kind)
+    return Cut(rows, narrow, tuple(by), tuple(order), found.first()["borders"], kind)
 
 
 def _chunk_index(place: Column, borders: str, place_type: str) -> Column:
@@ -211,11 +215,12 @@ def with_running(
     valued = {item.name: f"_value_{n}" for n, item in enumerate(items) if not isinstance(item, RowNumber)}
     values = {valued[item.name]: item.value for item in items if item.name in valued}
     if cut is None:
+        columns = df.columns
         cut = cut_rows(df.withColumns(values) if values else df, by, order, list(values), chunks)
-        written = cut.narrow
+        df, narrow = cut.rows.select(*columns), cut.narrow
     else:
-        written = cut.narrow.withColumns(values) if values else cut.narrow
-    written = cut.chunk(written)
+        narrow = cut.narrow.withColumns(values) if values else cut.narrow
+    narrow = cut.chunk(narrow)
     rows = df if _CHUNK in df.columns else cut.chunk(df)
 
     keys = [_KEY, _CHUNK] if by else [_CHUNK]
@@ -228,7 +233,7 @@ def with_running(
     )
 
     at = F.struct(*order)
-    sums = written.groupBy(*keys).agg(
+    sums = narrow.groupBy(*keys).agg(
         *[_summary(item, valued.get(item.name), at).alias(carry_names[item.name]) for item in items]
     )
     chunks_of = Window.partitionBy(*keys[:-1]).orderBy(_CHUNK)
