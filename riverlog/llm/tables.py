@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverlog.plans.storage import scratch_path
+from riverlog.plans.storage import written
+
+__all__ = ["read", "word_count", "word_list", "written"]
 
 # The white space of the contracts, as code points 9 to 13 and 32.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -16,14 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table that is made once and outlives its executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_list(text: Column) -> Column:
     """Words of a text as an array; none for a null or blank text."""
     flat = F.trim(F.translate(text, BLANKS, " " * len(BLANKS)))
