@@ -21,6 +21,7 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riverlog.model import DEFAULT_CAPACITY, Route, RuleError, require
@@ -39,9 +40,11 @@ from riverlog.sinks.basic import (
     fan_out,
 )
 from riverlog.sinks.http import HttpSink, Post, open_client
+from riverlog.sinks.outlets import ORIGIN
 from riverlog.sinks.retry import RetryPolicy
 from riverlog.sources.files import Source, union_sources
 from riverlog.sources.tail import tail_logs
+from riverlog.streaming.counters import LiveCounters
 
 Spec = Mapping[str, Any]
 
@@ -162,7 +165,13 @@ class Job:
         self.deliver(undelivered(entries, log), 0 if latest is None else latest + 1, log)
         return skipped
 
-    def deliver(self, entries: DataFrame, batch_id: int | None = None, log: CommitLog | None = None) -> None:
+    def deliver(
+        self,
+        entries: DataFrame,
+        batch_id: int | None = None,
+        log: CommitLog | None = None,
+        counters: LiveCounters | None = None,
+    ) -> None:
         """Give a batch to all sinks, then commit it; a committed one is skipped."""
         if log is not None and log.committed(batch_id):
             return
@@ -171,7 +180,8 @@ class Job:
             return
         entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fan_out(entries, self.sinks, batch_id, held=True)
+            report = None if counters is None else functools.partial(counters.delivered, batch_id)
+            fan_out(entries, self.sinks, batch_id, held=True, report=report)
             log.commit(batch_id, entries)
         finally:
             entries.unpersist()
@@ -183,6 +193,7 @@ class Job:
         start: str = "latest",
         trigger: Mapping[str, Any] | None = None,
         log: CommitLog | None = None,
+        counters: LiveCounters | None = None,
     ) -> StreamingQuery:
         """Follow all sources as one stream.  Files that are missing are picked
         up when they appear.
@@ -191,21 +202,29 @@ class Job:
         commits: a restart goes on behind the last batch, whatever ``start`` says.
         A batch whose sinks have not all succeeded is replayed whole, under its
         batch id; file sinks replace what they had of it, and a batch that was
-        committed before is not delivered again.
+        committed before is not delivered again.  ``counters`` counts lines and
+        deliveries by source while the query runs.
         """
         require(bool(checkpoint), "job: a checkpoint folder is required to follow sources")
         log = log or CommitLog(spark, checkpoint, "delivered")
-        lines = functools.reduce(
-            DataFrame.unionByName,
-            [tail_logs(spark, source.path, source.label, start) for source in self.sources],
-        )
-        return (
-            parse_logs(lines, raw=self.raw)
-            .writeStream.foreachBatch(functools.partial(self.deliver, log=log))
+        if counters is not None:
+            spark.streams.addListener(counters)
+        parts = []
+        for number, source in enumerate(self.sources):
+            lines = tail_logs(spark, source.path, source.label, start)
+            lines = lines if counters is None else counters.read(lines, number)
+            entries = parse_logs(lines, raw=self.raw).withColumn(ORIGIN, F.lit(source.label or source.path))
+            parts.append(entries if counters is None else counters.parsed(entries, number))
+        query = (
+            functools.reduce(DataFrame.unionByName, parts)
+            .writeStream.foreachBatch(functools.partial(self.deliver, log=log, counters=counters))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "250 milliseconds"}))
             .start()
         )
+        if counters is not None:
+            counters.follow(str(query.id), [source.label or source.path for source in self.sources])
+        return query
 
 
 def build_job(

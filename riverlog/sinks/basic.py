@@ -19,7 +19,7 @@ from riverlog.model import Route, require
 from riverlog.operators.parse import to_json_lines
 from riverlog.operators.route import ROUTE, route, route_expression
 from riverlog.sinks.http import HttpSink
-from riverlog.sinks.outlets import Branch, ConsoleOutlet, FileOutlet, failure_text, save
+from riverlog.sinks.outlets import Branch, ConsoleOutlet, Delivery, FileOutlet, deliver, failure_text
 from riverlog.sinks.retry import RetryPolicy
 
 
@@ -188,7 +188,11 @@ class FanOutError(RuntimeError):
 
 
 def write_each(
-    entries: DataFrame, sinks: Sequence[tuple[str, Sink]], batch_id: int | None = None, held: bool = False
+    entries: DataFrame,
+    sinks: Sequence[tuple[str, Sink]],
+    batch_id: int | None = None,
+    held: bool = False,
+    report: Callable[[Delivery], None] | None = None,
 ) -> list[str]:
     """Write to every sink; collect what failed instead of stopping.
 
@@ -198,7 +202,7 @@ def write_each(
     caller has done so).  Lost blocks are recomputed by Spark.
     """
     shared = [(n, branches) for n, (_, sink) in enumerate(sinks) if (branches := branches_of(sink, entries)) is not None]
-    if len(shared) == 1 and isinstance(sinks[shared[0][0]][1], FileSink):
+    if len(shared) == 1 and isinstance(sinks[shared[0][0]][1], FileSink) and report is None:
         shared = []  # Spark's own writer is the shorter way
     apart = [n for n in range(len(sinks)) if n not in dict(shared)]
     errors: dict[int, str] = {}
@@ -208,7 +212,10 @@ def write_each(
     try:
         if shared:
             try:
-                outcomes = iter(save(entries, [b for _, branches in shared for b in branches], batch_id))
+                delivery = deliver(entries, [b for _, branches in shared for b in branches], batch_id)
+                if report is not None:
+                    report(delivery)
+                outcomes = iter(delivery.outcomes)
                 for number, branches in shared:
                     failed = [
                         failure_text(branch.outlet, outcome)
@@ -236,8 +243,12 @@ def raise_joined(errors: Sequence[str]) -> None:
 
 
 def fan_out(
-    entries: DataFrame, sinks: Sequence[Sink], batch_id: int | None = None, held: bool = False
+    entries: DataFrame,
+    sinks: Sequence[Sink],
+    batch_id: int | None = None,
+    held: bool = False,
+    report: Callable[[Delivery], None] | None = None,
 ) -> None:
     """Every sink gets every entry; errors are raised together at the end."""
     if sinks:
-        raise_joined(write_each(entries, [("", sink) for sink in sinks], batch_id, held))
+        raise_joined(write_each(entries, [("", sink) for sink in sinks], batch_id, held, report))

@@ -33,9 +33,9 @@ from riverlog.sinks.outlets import (
     TaskReport,
     _StreamWriter,
     _Writer,
+    deliver,
     failure_text,
     filesystem,
-    save,
 )
 from riverlog.sinks.retry import RetryPolicy
 
@@ -137,7 +137,7 @@ class HttpSink:
 
     def outcome(self, entries: DataFrame, batch_id: int | None = None) -> Outcome:
         """Deliver; how many entries were delivered and failed, and a last error."""
-        return save(entries, [Branch(self.outlet())], batch_id)[0]
+        return deliver(entries, [Branch(self.outlet())], batch_id).outcomes[0]
 
     def write(self, entries: DataFrame, batch_id: int | None = None) -> None:
         outcome = self.outcome(entries, batch_id)
@@ -158,7 +158,8 @@ def _all_to_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(np.zeros(count, np.int32)), pa.nulls(count, pa.list_(pa.string()))], names=["outlet", "folder"]
         )
         goes = pa.ListArray.from_arrays(np.arange(count + 1, dtype=np.int32), one)
-        yield pa.RecordBatch.from_arrays([batch.column("value"), goes], names=["line", "goes"])
+        origin = pa.nulls(count, pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("value"), origin, goes], names=["line", "origin", "goes"])
 
 
 class _HttpWriter(_Writer):

@@ -12,7 +12,8 @@ message, and the commit moves the files of the attempts that count.  A job that
 fails leaves nothing, a replayed micro-batch replaces what it wrote before.  HTTP
 delivery is at least once; a replay carries the same key.
 
-What the driver gets is a report: one small record per task and outlet.
+What the driver gets is a report: one small record per task and outlet, with
+counts by origin (the job's source of an entry, or its ``source``).
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ import hashlib
 import json
 import re
 import uuid
+from array import array
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 import numpy as np
@@ -50,6 +53,9 @@ from riverlog.sinks.retry import RetriesExhausted, RetryPolicy
 _UNSAFE = re.compile(r'[\x00-\x1f"#%\'*/:=?\\\x7f{\[\]^]')
 _MISSING = "__HIVE_DEFAULT_PARTITION__"
 
+# The column that names the job's source of an entry, where there is one.
+ORIGIN = "_origin"
+
 DEAD_LETTER = "sink string, entry string, error string, attempts int"
 
 
@@ -250,40 +256,92 @@ class HttpOutlet(Outlet):
 
 @dataclass
 class Outcome:
-    """What one task did with one outlet, or all tasks with it."""
+    """What one task did with one outlet, or all tasks with it.  ``by_origin``
+    holds the delivered and failed entries of each origin."""
 
     delivered: int = 0
     failed: int = 0
     attempts: int = 0
     error: str | None = None
+    by_origin: dict[str, list[int]] = field(default_factory=dict)
 
     def add(self, other: Outcome) -> None:
         self.delivered += other.delivered
         self.failed += other.failed
         self.attempts += other.attempts
         self.error = self.error or other.error
+        for origin, counts in other.by_origin.items():
+            mine = self.by_origin.setdefault(origin, [0, 0])
+            mine[0] += counts[0]
+            mine[1] += counts[1]
+
+    def count(self, origins: Iterable[str], at: int) -> None:
+        for origin in origins:
+            self.by_origin.setdefault(origin, [0, 0])[at] += 1
+
+    def all_failed(self, error: Exception) -> None:
+        self.failed, self.delivered, self.error = self.failed + self.delivered, 0, str(error)
+        self.by_origin = {origin: [0, sum(counts)] for origin, counts in self.by_origin.items()}
+
+
+class _Reached:
+    """Which rows of a task have reached a sink, a byte each, and their origins."""
+
+    def __init__(self) -> None:
+        self.flags = bytearray()
+        self.codes = array("i")
+        self.names: list[str] = []
+        self.known: dict[str, int] = {}
+
+    def add(self, origins: Sequence[str | None]) -> int:
+        first = len(self.flags)
+        self.flags.extend(bytes(len(origins)))
+        for origin in origins:
+            origin = origin or ""
+            if origin not in self.known:
+                self.known[origin] = len(self.names)
+                self.names.append(origin)
+            self.codes.append(self.known[origin])
+        return first
+
+    def origins_of(self, rows: Iterable[int]) -> list[str]:
+        return [self.names[self.codes[row]] for row in rows]
+
+    def mark(self, rows: Sequence[int]) -> list[str]:
+        for row in rows:
+            self.flags[row] = 1
+        return self.origins_of(rows)
+
+    def totals(self) -> dict[str, int]:
+        counts = np.bincount(
+            np.asarray(self.codes, dtype=np.int64), np.frombuffer(bytes(self.flags), dtype=np.uint8), len(self.names)
+        )
+        return {name: int(count) for name, count in zip(self.names, counts)}
 
 
 class _Feed:
     """One outlet in one task: gathers lines, delivers, retries, gives up."""
 
-    def __init__(self, outlet: Outlet, run: str, batch_id: int | None, dead: _FileChannel | None) -> None:
-        self.outlet, self.run, self.batch_id, self.dead = outlet, run, batch_id, dead
+    def __init__(self, outlet: Outlet, run: str, batch_id: int | None, dead: _FileChannel | None, reached: _Reached) -> None:
+        self.outlet, self.run, self.batch_id, self.dead, self.reached = outlet, run, batch_id, dead, reached
         self.channel: Any = None
         self.outcome = Outcome()
         self.lines: list[str] = []
         self.values: list[Any] = []
+        self.rows: list[int] = []
 
-    def put(self, lines: Sequence[str], values: Sequence[Any]) -> None:
+    def put(self, lines: Sequence[str], values: Sequence[Any], rows: Sequence[int]) -> None:
         self.lines += lines
         self.values += values
+        self.rows += rows
         size = self.outlet.size or max(1, len(self.lines))
         whole = len(self.lines) // size * size
         for begin in range(0, whole, size):
-            self._deliver(self.lines[begin : begin + size], self.values[begin : begin + size])
-        self.lines, self.values = self.lines[whole:], self.values[whole:]
+            part = slice(begin, begin + size)
+            self._deliver(self.lines[part], self.values[part], self.rows[part])
+        self.lines, self.values, self.rows = self.lines[whole:], self.values[whole:], self.rows[whole:]
 
-    def _deliver(self, lines: list[str], values: list[Any]) -> None:
+    def _deliver(self, lines: list[str], values: list[Any], rows: list[int]) -> None:
         tried = 0
 
         def attempt() -> None:
@@ -296,9 +354,11 @@ class _Feed:
         try:
             self.outlet.retry.run(attempt)
             self.outcome.delivered += len(lines)
+            self.outcome.count(self.reached.mark(rows), 0)
         except RetriesExhausted as error:
             self.outcome.failed += len(lines)
             self.outcome.error = str(error)
+            self.outcome.count(self.reached.origins_of(rows), 1)
             if self.dead is not None:
                 letters = [
                     json.dumps(
@@ -312,7 +372,7 @@ class _Feed:
 
     def finish(self) -> list[Written]:
         if self.lines:
-            self._deliver(self.lines, self.values)
+            self._deliver(self.lines, self.values, self.rows)
         return [] if self.channel is None else self.channel.close()
 
 
@@ -321,6 +381,7 @@ class TaskReport(WriterCommitMessage):
     outcomes: list[Outcome]
     files: list[list[Written]]
     dead: list[list[Written]]
+    reached: dict[str, int] = field(default_factory=dict)
 
 
 def _feed_all(batches: Iterator[pa.RecordBatch], outlets: Sequence[Outlet], run: str, batch_id: int | None) -> TaskReport:
@@ -328,11 +389,14 @@ def _feed_all(batches: Iterator[pa.RecordBatch], outlets: Sequence[Outlet], run:
         None if outlet.dead_letters is None else _dead_outlet(outlet).channel(f"{run}-{number}", batch_id)
         for number, outlet in enumerate(outlets)
     ]
+    reached = _Reached()
     feeds = [
-        _Feed(outlet, f"{run}-{number}", batch_id, dead) for number, (outlet, dead) in enumerate(zip(outlets, letters))
+        _Feed(outlet, f"{run}-{number}", batch_id, dead, reached)
+        for number, (outlet, dead) in enumerate(zip(outlets, letters))
     ]
     for batch in batches:
         lines = batch.column("line").to_pylist()
+        first = reached.add(batch.column("origin").to_pylist())
         goes = batch.column("goes")
         sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(goes), 0))
         flat = goes.flatten()
@@ -342,16 +406,17 @@ def _feed_all(batches: Iterator[pa.RecordBatch], outlets: Sequence[Outlet], run:
         for number, feed in enumerate(feeds):
             mine = np.flatnonzero(which == number)
             if len(mine):
-                feed.put([lines[row[at]] for at in mine], [values[at] for at in mine])
+                of = row[mine].tolist()
+                feed.put([lines[at] for at in of], [values[at] for at in mine], [first + at for at in of])
     files = []
     for feed in feeds:
         try:
             files.append(feed.finish())
         except Exception as error:  # noqa: BLE001 - one outlet must not take the others along
             files.append([])
-            feed.outcome.failed += feed.outcome.delivered
-            feed.outcome.delivered, feed.outcome.error = 0, str(error)
-    return TaskReport([feed.outcome for feed in feeds], files, [[] if d is None else d.close() for d in letters])
+            feed.outcome.all_failed(error)
+    dead = [[] if channel is None else channel.close() for channel in letters]
+    return TaskReport([feed.outcome for feed in feeds], files, dead, reached.totals())
 
 
 def _dead_outlet(outlet: Outlet) -> FileOutlet:
@@ -374,8 +439,7 @@ def _settle(
             files = [file for report in reports for file in report.files[number]]
             outlet.settle(f"{run}-{number}", files, batch_id)
         except Exception as error:  # noqa: BLE001 - reported, the others go on
-            totals[number].failed += totals[number].delivered
-            totals[number].delivered, totals[number].error = 0, str(error)
+            totals[number].all_failed(error)
         if outlet.dead_letters is not None:
             letters = [file for report in reports for file in report.dead[number]]
             if letters or batch_id is not None:
@@ -383,7 +447,18 @@ def _settle(
     return totals
 
 
-def _write_report(path: str | None, totals: Sequence[Outcome], outlets: Sequence[Outlet], batch_id: int | None) -> None:
+def _reached_of(messages: Iterable[TaskReport | None]) -> dict[str, int]:
+    total: Counter[str] = Counter()
+    for message in messages:
+        if message is not None:
+            total.update(message.reached)
+    return dict(total)
+
+
+def _write_report(
+    path: str | None, totals: Sequence[Outcome], outlets: Sequence[Outlet], batch_id: int | None, reached: dict[str, int]
+) -> None:
+    """A line of JSON per outlet, and one of the entries that reached any."""
     if path is None:
         return
     store, folder = filesystem(path)
@@ -393,6 +468,8 @@ def _write_report(path: str | None, totals: Sequence[Outcome], outlets: Sequence
         json.dumps({"outlet": number, "sink": outlet.name, "batch": batch_id, **vars(total)})
         for number, (outlet, total) in enumerate(zip(outlets, totals))
     ]
+    with store.open_output_stream(f"{folder}/_reached-{name}") as out:
+        out.write(json.dumps(reached).encode())
     with store.open_output_stream(f"{folder}/{name}") as out:
         out.write(("\n".join(lines) + "\n").encode())
 
@@ -406,7 +483,7 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list) -> None:
         totals = _settle(messages, self.outlets, self.run, self.batch_id)
-        _write_report(self.report, totals, self.outlets, self.batch_id)
+        _write_report(self.report, totals, self.outlets, self.batch_id, _reached_of(messages))
 
     def abort(self, messages: list) -> None:
         _discard_all(self.outlets, self.run, self.batch_id)
@@ -424,7 +501,7 @@ class _StreamWriter(DataSourceStreamArrowWriter):
 
     def commit(self, messages: list, batchId: int) -> None:  # noqa: N803 - Spark's name
         totals = _settle(messages, self.outlets, self.run, batchId)
-        _write_report(self.report, totals, self.outlets, batchId)
+        _write_report(self.report, totals, self.outlets, batchId, _reached_of(messages))
         failed = [(o, t) for o, t in zip(self.outlets, totals) if t.failed and o.dead_letters is None]
         if failed:
             # the query stops; its next start replays the batch
@@ -442,14 +519,14 @@ def _discard_all(outlets: Sequence[Outlet], run: str, batch_id: int | None) -> N
 
 
 class OutletSource(DataSource):
-    """Rows of ``line`` and ``goes``, for the outlets packed into an option."""
+    """Rows of ``line``, ``origin`` and ``goes``, for the outlets packed into an option."""
 
     @classmethod
     def name(cls) -> str:
         return "riverlog_outlets"
 
     def schema(self) -> str:
-        return "line string, goes array<struct<outlet int, folder array<string>>>"
+        return "line string, origin string, goes array<struct<outlet int, folder array<string>>>"
 
     def _outlets(self) -> list[Outlet]:
         return cloudpickle.loads(base64.b64decode(self.options["outlets"]))
@@ -481,13 +558,23 @@ def addressed(entries: DataFrame, branches: Sequence[Branch]) -> DataFrame:
         item = F.struct(F.lit(number).alias("outlet"), folder.alias("folder"))
         goes.append(item if branch.condition is None else F.when(branch.condition, item))
     found = F.filter(F.array(*goes), lambda item: item.isNotNull())
-    rows = entries.select(entry_json().alias("line"), found.alias("goes"))
+    origin = F.col(ORIGIN if ORIGIN in entries.columns else "source")
+    rows = entries.select(entry_json().alias("line"), origin.alias("origin"), found.alias("goes"))
     return rows if any(b.condition is None for b in branches) else rows.where(F.size("goes") > 0)
 
 
-def save(entries: DataFrame, branches: Sequence[Branch], batch_id: int | None = None) -> list[Outcome]:
-    """Deliver entries to all branches in one job; totals by branch."""
-    require(len(branches) > 0, "save: at least one outlet is needed")
+@dataclass(frozen=True)
+class Delivery:
+    """What became of a set of entries: totals by branch, and how many entries of
+    each origin reached at least one sink."""
+
+    outcomes: list[Outcome]
+    reached: dict[str, int]
+
+
+def deliver(entries: DataFrame, branches: Sequence[Branch], batch_id: int | None = None) -> Delivery:
+    """Give entries to all branches in one job."""
+    require(len(branches) > 0, "deliver: at least one outlet is needed")
     spark = entries.sparkSession
     spark.dataSource.register(OutletSource)
     outlets = [_placed(spark, branch.outlet) for branch in branches]
@@ -503,10 +590,14 @@ def save(entries: DataFrame, branches: Sequence[Branch], batch_id: int | None =
     if batch_id is not None:
         writer = writer.option("batch", str(batch_id))
     writer.save()
-    store, path = filesystem(f"{report}/batch.json" if batch_id is None else f"{report}/batch-{batch_id}.json")
-    with store.open_input_file(path) as file:
+    store, folder = filesystem(report)
+    name = "batch.json" if batch_id is None else f"batch-{batch_id}.json"
+    with store.open_input_file(f"{folder}/{name}") as file:
         rows = [json.loads(line) for line in file.read().decode().splitlines()]
-    return [Outcome(row["delivered"], row["failed"], row["attempts"], row["error"]) for row in rows]
+    with store.open_input_file(f"{folder}/_reached-{name}") as file:
+        reached = json.loads(file.read())
+    parts = [item.name for item in fields(Outcome)]
+    return Delivery([Outcome(**{part: row[part] for part in parts}) for row in rows], reached)
 
 
 def _placed(spark: SparkSession, outlet: Outlet) -> Outlet:

@@ -3,6 +3,7 @@
 import json
 import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from riverlog.sinks.basic import ConsoleSink, FanOutError, FileSink, FilteredSin
 from riverlog.sinks.http import HttpSink, HttpSource
 from riverlog.sinks.retry import RetryPolicy
 from riverlog.sources.files import read_logs
+from riverlog.streaming.counters import LiveCounters
 
 
 @pytest.fixture
@@ -172,12 +174,13 @@ def test_a_torn_file_keeps_what_was_delivered(folder):
             self.inner.close()
 
     outlet = outlets.FileOutlet("torn", RetryPolicy(2, 0.0), path=folder + "/out")
-    feed = outlets._Feed(outlet, "run", None, None)
-    feed.put(["first"], [None])
+    feed = outlets._Feed(outlet, "run", None, None, reached := outlets._Reached())
+    reached.add(["s"] * 5)
+    feed.put(["first"], [None], [0])
     stream, file = feed.channel.open[""]
     feed.channel.open[""] = Stream(stream), file
-    for line in ("second", "third", "fourth", "fifth"):
-        feed.put([line], [None])
+    for row, line in enumerate(("second", "third", "fourth", "fifth"), 1):
+        feed.put([line], [None], [row])
     outlet.settle("run", feed.finish(), None)
     text = "".join(open(f"{folder}/out/{name}").read() for name in sorted(os.listdir(folder + "/out")))
     assert sorted(text.split()) == sorted(["first", "second", "third", "fourth", "fifth"])
@@ -232,6 +235,35 @@ def test_stream_writes_through_the_format(spark, folder):
     assert [(row["batch"], row["delivered"]) for row in reports] == [(0, 1), (1, 1), (2, 1)]
 
 
+# -- counters -----------------------------------------------------------------
+
+
+def test_live_counters_equal_the_batch_counts(spark, folder, blocked):
+    os.makedirs(folder + "/in")
+    append(folder + "/in/a.log", *lines(6), "broken", *lines(3, "error"))
+    append(folder + "/in/b.txt", *lines(2, "debug"), "{}", "[1]")
+    routes = [{"field": "level", "values": ["error"], "sink": {"type": "file", "path": blocked}}]
+    dead = {"type": "retry", "dead_letters": folder + "/dead", "inner": {"type": "router", "routes": routes}}
+    info = {"type": "router", "routes": [{"field": "level", "values": ["info", "debug"], "sink": {"type": "file", "path": folder + "/out"}}]}
+    spec = {"sources": [{"path": folder + "/in/*.log", "label": "app"}, {"path": folder + "/in/*.txt"}], "sinks": [info, dead]}
+    counters = LiveCounters()
+    for _ in range(2):
+        job = build_job(spec)
+        job.start(spark, folder + "/state", "earliest", {"availableNow": True}, counters=counters).awaitTermination()
+        append(folder + "/in/a.log", *lines(2), "also broken")
+    deadline = time.monotonic() + 30
+    while counters.batches() < 2 and time.monotonic() < deadline:
+        time.sleep(0.1)
+    found = {row["source"]: tuple(row)[1:-1] for row in counters.table(spark).collect()}
+    # read, parsed, errors of parsing, written, failed, reached no sink
+    assert found == {
+        "app": (13, 11, 2, 8, 3, 5),
+        folder + "/in/*.txt": (4, 3, 1, 2, 0, 2),
+        "*": (17, 14, 3, 10, 3, 7),
+    }
+    spark.streams.removeListener(counters)
+
+
 # -- commits --------------------------------------------------------------------
 
 
