@@ -204,6 +204,10 @@ SELECT event_id, user_id, least(n, 5) - r + 1 AS buffer_pos FROM ranked WHERE r
          row_number() OVER (PARTITION BY source, ts::DATE ORDER BY ts DESC, event_id DESC) AS r,
          count(*) OVER (PARTITION BY source, ts::DATE) AS n FROM logs)
 SELECT event_id, source, least(n, 10) - r + 1 AS buffer_pos FROM ranked WHERE r <= 10""",
+    "buffer_flush_stream": f"""WITH {_LOGS}, ranked AS (
+  SELECT event_id, ts_us, level, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts DESC) AS r
+  FROM logs WHERE level = 'warn')
+SELECT event_id, ts_us, level FROM ranked WHERE r <= 10""",
     "rate_shape": f"""WITH {_RATE}
 SELECT event_id, source, release_at, release_at - ts_us AS delay FROM shaped""",
     "rate_stats": f"""WITH {_RATE}
@@ -262,6 +266,14 @@ SELECT CASE WHEN grouping(source) = 1 THEN '*' ELSE source END AS source, count(
        sum(w)::BIGINT AS sink_writes, sum(e)::BIGINT AS sink_errors,
        count(*) FILTER (WHERE w = 0) AS lines_dropped
 FROM lines GROUP BY ROLLUP (source)""",
+    "live_counters": f"""WITH {_DIRTY}, counted AS (
+  SELECT count(*) AS lines_read, count(*) FILTER (WHERE kind > 3) AS lines_parsed,
+         count(*) FILTER (WHERE kind <= 3) AS parse_errors,
+         count(*) FILTER (WHERE kind > 3 AND level IN ('info', 'warn', 'error')) AS sink_writes,
+         count(*) FILTER (WHERE kind > 3 AND level = 'error') AS sink_errors,
+         count(*) - count(*) FILTER (WHERE kind > 3 AND level IN ('info', 'warn', 'error')) AS lines_dropped
+  FROM dirty)
+SELECT s AS source, counted.* FROM counted, (VALUES ('app'), ('*')) AS t(s)""",
     "health_report": f"""WITH {_LOGS}, ages AS (
   SELECT source, (SELECT max(ts_us) FROM logs) - max(ts_us) AS age FROM logs GROUP BY source)
 SELECT bool_and(age <= 600000000) AS healthy,

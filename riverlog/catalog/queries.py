@@ -25,6 +25,7 @@ from riverlog.sinks.outlets import filesystem, qualified, read_dead_letters
 from riverlog.sinks.retry import RetryPolicy
 from riverlog.sources.files import Source, read_logs, union_sources
 from riverlog.sources.tail import tail_logs
+from riverlog.streaming.counters import LiveCounters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -323,6 +324,26 @@ def keep_latest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "source", "buffer_pos")
 
 
+def buffer_flush_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job follows the lines and keeps the newest ten warnings of a day in the
+    stream's state; a day is flushed when later days have come.  Two lines from
+    far ahead end the last day."""
+    lines, out, state = (scratch_path(spark, name) for name in ("flush-in", "flush-out", "flush-state"))
+    short = X.short_lines(spark, sf_dir).select("value")
+    buffered = {"type": "buffered", "capacity": 10, "by": ["source"], "flush_seconds": 86400, "inner": {"type": "file", "path": out}}
+    spec = {
+        "sources": [{"path": f"{lines}/*.txt", "label": "app"}],
+        "sinks": [{"type": "router", "routes": [{"field": "level", "values": ["warn"], "sink": buffered}]}],
+    }
+    ahead = [spark.range(1).selectExpr(f"""'{{"ts":"{year}-01-01T00:00:00Z","level":"warn"}}' AS value""") for year in (2200, 2300)]
+    for part in (short, *ahead):
+        part.write.mode("append").text(lines)
+        build_job(spec).start(spark, state, "earliest", {"availableNow": True}).awaitTermination()
+    flushed = parse_logs(read_logs(spark, out, "out"), now=X.now())
+    event_id = F.regexp_extract("message", "[0-9]+", 0).cast("bigint")
+    return flushed.where("message <> ''").select(event_id.alias("event_id"), _at(), "level")
+
+
 def rate_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rate.shape_rate(X.logs(spark, sf_dir), 0.001, 2, order=ARRIVAL)
     return out.select("event_id", "source", "release_at", "delay")
@@ -551,6 +572,31 @@ def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job follows the dirty lines, one micro-batch after the other, and counts
+    while it runs: info and above go to files, errors to a sink that is down."""
+    lines, out, state, dead = (scratch_path(spark, name) for name in ("live-in", "live-out", "live-state", "live-dead"))
+    dirty = X.dirty_lines(spark, sf_dir)
+    files = {"type": "file", "path": out}
+    down = {"type": "retry", "dead_letters": dead, "inner": {"type": "file", "path": _blocked(spark)}}
+    levels = ("info", "warn", "error")
+    spec = {
+        "sources": [{"path": f"{lines}/*.txt", "label": "app"}],
+        "sinks": [
+            {"type": "router", "routes": [{"field": "level", "values": levels, "sink": files}]},
+            {"type": "router", "routes": [{"field": "level", "values": ["error"], "sink": down}]},
+        ],
+    }
+    counters = LiveCounters()
+    for part in range(2):
+        dirty.where(F.col("event_id") % 2 == part).select("value").write.mode("append").text(lines)
+        job = build_job(spec)
+        job.start(spark, state, "earliest", {"availableNow": True}, counters=counters).awaitTermination()
+    counters.wait(batches=2)
+    spark.streams.removeListener(counters)
+    return counters.table(spark).drop("uptime_seconds")
+
+
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources are healthy within ten minutes of the newest entry."""
     status = observe.stale_status(X.logs(spark, sf_dir), 600.0)
@@ -619,6 +665,7 @@ QUERIES: dict[str, Query] = {
     "batch_size_or_time": batch_size_or_time,
     "keep_latest": keep_latest,
     "keep_latest_daily": keep_latest_daily,
+    "buffer_flush_stream": buffer_flush_stream,
     "rate_shape": rate_shape,
     "rate_stats": rate_stats,
     "route_entries": route_entries,
@@ -633,6 +680,7 @@ QUERIES: dict[str, Query] = {
     "incremental_resume": incremental_resume,
     "spec_job": spec_job,
     "pipeline_counters": pipeline_counters,
+    "live_counters": live_counters,
     "health_report": health_report,
     "state_transitions": state_transitions,
     "rotation_events": rotation_events,

@@ -20,24 +20,25 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riverlog.model import DEFAULT_CAPACITY, Route, RuleError, require
-from riverlog.operators.buffer import keep_latest
 from riverlog.operators.parse import parse_logs
 from riverlog.operators.predicates import keep_expression
 from riverlog.plans.commits import CommitLog, undelivered
 from riverlog.sinks.basic import (
+    BufferedSink,
     ConsoleSink,
     FileSink,
     FilteredSink,
+    Held,
     RetrySink,
     RouterSink,
     Sink,
-    TransformedSink,
     fan_out,
+    without_periods,
 )
 from riverlog.sinks.http import HttpSink, Post, open_client
 from riverlog.sinks.outlets import ORIGIN
@@ -45,9 +46,14 @@ from riverlog.sinks.retry import RetryPolicy
 from riverlog.sources.files import Source, union_sources
 from riverlog.sources.tail import tail_logs
 from riverlog.streaming.counters import LiveCounters
+from riverlog.streaming.stateful import keep_latest_stream
 
 Spec = Mapping[str, Any]
 
+# In a stream: the number of the buffer that a row was flushed from.
+FLUSHED = "_flushed"
+_FLUSHED_IS_NULL = f"{FLUSHED} IS NULL"
+
 _FALLBACK = "fallback"
 
 # Total up to lines that are the same in all they hold.
@@ -92,9 +98,8 @@ def build_sink(spec: Spec, where: str = "sink", context: SinkContext = SinkConte
         capacity = spec.get("capacity") or 0
         capacity = capacity if capacity > 0 else DEFAULT_CAPACITY
         by, period = tuple(spec.get("by", ())), spec.get("flush_seconds")
-        return TransformedSink(
-            lambda df: keep_latest(df, capacity, by, context.order, period).drop("buffer_pos"), inner
-        )
+        require(period is None or period > 0, f"{where}: flush_seconds must be above zero")
+        return BufferedSink(inner, capacity, by, context.order, period, spec.get("lateness_seconds", 0.0))
     if kind == "sampled":
         inner = _inner(spec, where, kind, context)
         rate, seed, key = spec.get("rate", 0), spec.get("seed"), spec.get("key")
@@ -181,11 +186,26 @@ class Job:
         entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             report = None if counters is None else functools.partial(counters.delivered, batch_id)
-            fan_out(entries, self.sinks, batch_id, held=True, report=report)
-            log.commit(batch_id, entries)
+            fan_out(entries, self._for(entries), batch_id, held=True, report=report)
+            log.commit(batch_id, entries.where(_FLUSHED_IS_NULL) if FLUSHED in entries.columns else entries)
         finally:
             entries.unpersist()
 
+    def _for(self, entries: DataFrame) -> list[Sink]:
+        """The sinks of a micro-batch, each with its own rows where a stream's
+        buffers were flushed into it."""
+        if FLUSHED not in entries.columns:
+            return list(self.sinks)
+        sinks, number = [], 0
+        for sink in self.sinks:
+            rest, held = without_periods(sink)
+            if rest is not None:
+                sinks.append(FilteredSink(lambda: F.expr(_FLUSHED_IS_NULL), rest))
+            for buffer in held:
+                sinks.append(FilteredSink(functools.partial(_flushed_from, number), buffer.buffer.inner))
+                number += 1
+        return sinks
+
     def start(
         self,
         spark: SparkSession,
@@ -215,8 +235,9 @@ class Job:
             lines = lines if counters is None else counters.read(lines, number)
             entries = parse_logs(lines, raw=self.raw).withColumn(ORIGIN, F.lit(source.label or source.path))
             parts.append(entries if counters is None else counters.parsed(entries, number))
+        entries = functools.reduce(DataFrame.unionByName, parts)
         query = (
-            functools.reduce(DataFrame.unionByName, parts)
+            _with_flushes(entries, [held for sink in self.sinks for held in without_periods(sink)[1]])
             .writeStream.foreachBatch(functools.partial(self.deliver, log=log, counters=counters))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "250 milliseconds"}))
@@ -227,6 +248,23 @@ class Job:
         return query
 
 
+def _flushed_from(number: int) -> Column:
+    return F.col(FLUSHED) == number
+
+
+def _with_flushes(entries: DataFrame, buffers: Sequence[Held]) -> DataFrame:
+    """Entries as they come, and beside them the flushes of the buffers."""
+    if not buffers:
+        return entries
+    parts = [entries.withColumn(FLUSHED, F.lit(None).cast("int"))]
+    for number, held in enumerate(buffers):
+        mine = functools.reduce(lambda df, condition: df.where(condition()), held.conditions, entries)
+        b = held.buffer
+        newest = keep_latest_stream(mine, b.capacity, b.period, b.by, b.order, lateness=b.lateness)
+        parts.append(newest.drop("buffer_pos").withColumn(FLUSHED, F.lit(number)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def build_job(
     spec: Spec,
     order: Sequence[str] = ARRIVAL,

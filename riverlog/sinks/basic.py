@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riverlog.functions.text import entry_json
 from riverlog.model import Route, require
+from riverlog.operators.buffer import keep_latest
 from riverlog.operators.parse import to_json_lines
 from riverlog.operators.route import ROUTE, route, route_expression
 from riverlog.sinks.http import HttpSink
@@ -101,6 +102,26 @@ class FilteredSink:
         self.inner.write(entries.where(self.condition()), batch_id)
 
 
+@dataclass(frozen=True)
+class BufferedSink:
+    """Give the inner sink the newest ``capacity`` entries of every flush.
+
+    On tables a flush is a key, or a key and ``period`` of event time.  In a
+    stream without a period it is a micro-batch; with one, a job keeps the open
+    periods in the stream's state and flushes them as they end."""
+
+    inner: Sink
+    capacity: int
+    by: tuple[str, ...] = ()
+    order: tuple[str, ...] = ("timestamp",)
+    period: float | None = None
+    lateness: float = 0.0
+
+    def write(self, entries: DataFrame, batch_id: int | None = None) -> None:
+        newest = keep_latest(entries, self.capacity, self.by, self.order, self.period)
+        self.inner.write(newest.drop("buffer_pos"), batch_id)
+
+
 @dataclass(frozen=True)
 class RetrySink:
     """Try deliveries of the inner sink again, in the tasks.
@@ -177,6 +198,43 @@ def branches_of(sink: Sink, entries: DataFrame) -> list[Branch] | None:
     return None
 
 
+@dataclass(frozen=True)
+class Held:
+    """A buffer that a stream flushes by itself, and which entries it gets."""
+
+    buffer: BufferedSink
+    conditions: tuple[Callable[[], Column], ...] = ()
+
+
+def without_periods(sink: Sink) -> tuple[Sink | None, list[Held]]:
+    """The sink without its buffers that have a flush period, and those buffers."""
+    match sink:
+        case BufferedSink() if sink.period is not None:
+            return None, [Held(sink)]
+        case FilteredSink():
+            inner, held = without_periods(sink.inner)
+            held = [replace(h, conditions=(sink.condition, *h.conditions)) for h in held]
+            return None if inner is None else replace(sink, inner=inner), held
+        case RetrySink():
+            inner, held = without_periods(sink.inner)
+            held = [replace(h, buffer=replace(h.buffer, inner=replace(sink, inner=h.buffer.inner))) for h in held]
+            return None if inner is None else replace(sink, inner=inner), held
+        case RouterSink():
+            kept: dict[str, Sink] = {}
+            found: list[Held] = []
+            for name, inner in sink.sinks.items():
+                rest, held = without_periods(inner)
+
+                def taken(name: str = name) -> Column:
+                    return route_expression(sink.routes, sink.fallback) == name
+
+                found += [replace(h, conditions=(taken, *h.conditions)) for h in held]
+                if rest is not None:
+                    kept[name] = rest
+            return replace(sink, sinks=kept) if kept else None, found
+    return sink, []
+
+
 def _narrowed(branches: list[Branch] | None, condition: Column) -> list[Branch] | None:
     if branches is None:
         return None

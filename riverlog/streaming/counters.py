@@ -71,6 +71,12 @@ class LiveCounters(StreamingQueryListener):
         with self._lock:
             return sum(query == self._query for query, _ in self._progress)
 
+    def wait(self, batches: int, seconds: float = 30.0) -> None:
+        """Until so many micro-batches are counted: progress events come late."""
+        deadline = time.monotonic() + seconds
+        while self.batches() < batches and time.monotonic() < deadline:
+            time.sleep(0.05)
+
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per source of the job, and one for all, named ``*``."""
         with self._lock:

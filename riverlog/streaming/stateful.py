@@ -14,11 +14,12 @@ Entries cross into Python as Arrow batches; ``fields`` travels as JSON text.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,6 +32,9 @@ from riverlog.operators.buffer import check_capacity, keep_latest
 from riverlog.operators.multiline import check_multiline, is_continuation, line_text, set_text
 from riverlog.operators.observe import AVAILABLE, INODE_CHANGED, MISSING, TRUNCATED
 
+# Microseconds to the farthest times that pandas knows, nearly.
+_FAR = 9_200_000_000_000_000
+
 _FIELDS_TYPE = "map<string,variant>"
 _ROW_JSON = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -231,6 +235,71 @@ def keep_latest_batch(
     return lambda entries: keep_latest(entries, capacity, by, order).drop("buffer_pos")
 
 
+def _whole(df: DataFrame, name: str) -> Column:
+    """A column to sort by; times as whole numbers, of any year."""
+    kind = df.schema[name].dataType
+    return micros(F.col(name), kind.simpleString()) if isinstance(kind, T.TimestampType | T.TimestampNTZType) else F.col(name)
+
+
+def keep_latest_stream(
+    df: DataFrame,
+    capacity: int,
+    period: float,
+    by: Sequence[str] = ("source",),
+    order: Sequence[str] = ("timestamp",),
+    ts: str = "timestamp",
+    lateness: float = 0.0,
+) -> DataFrame:
+    """Streaming form of ``keep_latest`` with a flush period: per key and period
+    the newest ``capacity`` entries, emitted with ``buffer_pos`` when the period
+    is over in event time.
+
+    State is the best ``capacity`` rows of each open period.  A period ends, and
+    entries of it are late and dropped, once entries of a later one have come and
+    ``lateness`` seconds of event time have passed on top."""
+    check_capacity(capacity)
+    width = round(period * 1_000_000)
+    require(width > 0, "keep_latest: the period must be above zero seconds")
+    require(lateness >= 0, "keep_latest: the lateness must not be negative")
+    timed = _at(df, ts).withColumn("_period", F.col("_at") - F.pmod("_at", F.lit(width)) + width)
+    names = [f"_place_{number}" for number in range(len(order))]
+    rows = timed.select(
+        *by,
+        *[_whole(df, name).alias(place) for name, place in zip(order, names)],
+        F.to_json(F.struct(*df.columns), _ROW_JSON).alias("_row"),
+        "_period",
+        # the end of its period is the event time of a row: none is late before
+        F.timestamp_micros(F.greatest(F.lit(-_FAR), F.least("_period", F.lit(_FAR)))).alias("_flush_at"),
+    )
+
+    def step(rows: pd.DataFrame, old: tuple | None):
+        held = [] if old is None else pickle.loads(old[0])
+        places = zip(*(rows[name] for name in names))
+        held += [([(not pd.isna(v), v) for v in place], row) for place, row in zip(places, rows["_row"])]
+        held.sort(key=lambda item: item[0])
+        expiry = int(rows["_flush_at"].iloc[0].value) // 1_000_000
+        empty = rows.iloc[:0].assign(buffer_pos=pd.Series(dtype="int64"))
+        return empty, (pickle.dumps(held[-capacity:]),), expiry
+
+    def on_timeout(old: tuple) -> pd.DataFrame:
+        held = pickle.loads(old[0])
+        return pd.DataFrame({"_row": [row for _, row in held], "buffer_pos": range(1, len(held) + 1)})
+
+    kept = _stateful(
+        rows,
+        [*by, "_period", "_flush_at"],
+        names,
+        "held binary",
+        step,
+        extra=[T.StructField("buffer_pos", T.LongType())],
+        drop=[name for name in rows.columns if name != "_row"],
+        on_timeout=on_timeout,
+        watermark=("_flush_at", f"{round(lateness * 1000)} milliseconds"),
+    )
+    row = F.from_json("_row", df.schema, _ROW_JSON)
+    return kept.select(row.alias("_row"), "buffer_pos").select("_row.*", "buffer_pos")
+
+
 def transitions_stream(
     polls: DataFrame,
     by: Sequence[str] = ("path",),

@@ -3,7 +3,6 @@
 import json
 import os
 import tempfile
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,9 +250,7 @@ def test_live_counters_equal_the_batch_counts(spark, folder, blocked):
         job = build_job(spec)
         job.start(spark, folder + "/state", "earliest", {"availableNow": True}, counters=counters).awaitTermination()
         append(folder + "/in/a.log", *lines(2), "also broken")
-    deadline = time.monotonic() + 30
-    while counters.batches() < 2 and time.monotonic() < deadline:
-        time.sleep(0.1)
+    counters.wait(batches=2)
     found = {row["source"]: tuple(row)[1:-1] for row in counters.table(spark).collect()}
     # read, parsed, errors of parsing, written, failed, reached no sink
     assert found == {
@@ -264,6 +261,39 @@ def test_live_counters_equal_the_batch_counts(spark, folder, blocked):
     spark.streams.removeListener(counters)
 
 
+# -- buffers with a flush period ----------------------------------------------
+
+
+def timed(minute, second, text, level="warn"):
+    return json.dumps({"ts": f"2024-01-01T00:{minute:02d}:{second:02d}Z", "level": level, "msg": text})
+
+
+def test_buffers_flush_when_their_period_is_over(spark, folder):
+    buffered = {"type": "buffered", "capacity": 2, "flush_seconds": 60, "inner": {"type": "file", "path": folder + "/new"}}
+    direct = {"type": "file", "path": folder + "/rest"}
+    router = {"type": "router", "routes": [{"field": "level", "values": ["warn"], "sink": buffered}], "fallback": direct}
+    retried = {"type": "retry", "retry": {"max_attempts": 2, "base_delay": 0}, "inner": router}
+    spec = {"sources": [{"path": folder + "/*.log", "label": "app"}], "sinks": [{"type": "file", "path": folder + "/all"}, retried]}
+
+    def flushed(*texts):
+        append(folder + "/a.log", *texts)
+        build_job(spec).start(spark, folder + "/state", "earliest", {"availableNow": True}).awaitTermination()
+        return messages(spark, folder + "/new") if os.path.exists(folder + "/new") else []
+
+    assert flushed(timed(0, 1, "a"), timed(0, 5, "b"), timed(0, 3, "c"), timed(0, 9, "i", "info")) == []
+    # more of the same period, out of order, after a restart
+    assert flushed(timed(0, 4, "d"), timed(0, 58, "x", "info")) == []
+    assert flushed(timed(1, 1, "e")) == []
+    # the next batch flushes the first minute: its two newest
+    assert flushed(timed(3, 1, "g"), timed(1, 30, "f")) == ["b", "d"]
+    assert flushed(timed(9, 0, "h")) == ["b", "d", "e", "f"]
+    assert len(messages(spark, folder + "/all")) == 10 and messages(spark, folder + "/rest") == ["i", "x"]
+    # what was delivered is marked by the lines themselves, not by later flushes
+    assert CommitLog(spark, folder + "/state", "delivered").marks().first()["position"] > 0
+    with pytest.raises(RuleError, match=r"sink\[0\]: flush_seconds"):
+        build_job({"sources": [{"path": "x"}], "sinks": [{**buffered, "flush_seconds": 0}]})
+
+
 # -- commits --------------------------------------------------------------------
 
 
