@@ -83,6 +83,8 @@ FROM logs WHERE level IN ('info', 'warn', 'error') GROUP BY 1, 2""",
     "scan_positions": f"""WITH {_LOGS}, lines AS (SELECT strlen({_SHORT_LINE}) + 1 AS size FROM logs)
 SELECT count(*) AS lines, sum(size)::BIGINT AS bytes, sum(size)::BIGINT AS bytes_by_position FROM lines""",
     "tail_lines": f"""WITH {_LOGS} SELECT 'events' AS source, event_id, level, ts_us FROM logs""",
+    "tail_rotation": f"""WITH {_LOGS}
+SELECT 'app' AS source, event_id, level, 1::BIGINT AS times FROM logs""",
     "union_sources": f"""WITH {_LOGS}
 SELECT 'app' AS source, count(*) AS lines, sum(strlen({_SHORT_LINE}))::BIGINT AS bytes, 'gone' AS skipped
 FROM logs
@@ -96,14 +98,17 @@ SELECT event_id, ts_us, level, message, user_id FROM dirty WHERE kind NOT IN (0,
 SELECT event_id, source,
        CASE event_id % 20 WHEN 0 THEN 'empty line' WHEN 3 THEN 'not an object' ELSE 'invalid JSON' END AS reason
 FROM logs WHERE event_id % 20 IN (0, 1, 2, 3)""",
-    "raw_passthrough": f"""WITH {_DIRTY}
+    "raw_passthrough": f"""WITH {_DIRTY}, lines AS (
+  SELECT event_id, concat('{{"ts":"', {_STAMP.format(ts="ts")}, 'Z","severity":"', level, '","msg":"', message,
+         '","user_id":', user_id, ',"event_type":"', event_type, '","value":,"props":', to_json(props), '}}') AS line
+  FROM logs)
 SELECT event_id,
        CASE WHEN kind <= 3 THEN '' ELSE level END AS level,
-       CASE kind WHEN 0 THEN '' WHEN 1 THEN 'plain' WHEN 2 THEN '{{"ts"' WHEN 3 THEN '[{{"ts'
-            ELSE message END AS text,
+       CASE kind WHEN 0 THEN '' WHEN 1 THEN 'plain ' || event_id WHEN 2 THEN line || ' x'
+            WHEN 3 THEN '[' || line || ']' ELSE message END AS text,
        kind <= 3 AS is_line,
        (CASE WHEN kind <= 4 THEN 0 ELSE 4 END)::BIGINT AS n_fields
-FROM dirty""",
+FROM dirty JOIN lines USING (event_id)""",
     "entry_json": f"""WITH {_LOGS}
 SELECT {_STAMP.format(ts="ts")} || 'Z' AS timestamp, level, message, source,
        user_id::VARCHAR AS user_id, props, 'event_type,props,user_id,value' AS field_names,
@@ -113,6 +118,7 @@ SELECT event_id, level, user_id FROM logs
 WHERE level IN ('error', 'warn') AND event_type IN ('purchase', 'view')""",
     "min_level": f"""WITH {_LOGS} SELECT event_id, level FROM logs WHERE level IN ('warn', 'error')""",
     "sample_hash": f"""SELECT event_id FROM events WHERE {_keep("event_id", "7", "0.1")}""",
+    "sample_rand_bounds": "SELECT true AS within_bounds, true AS each_once, 0::BIGINT AS strange, 0::BIGINT AS different",
     "sample_stats": f"""SELECT count(*) FILTER (WHERE {_keep("event_id", "7", "0.25")}) AS kept,
        count(*) FILTER (WHERE NOT ({_keep("event_id", "7", "0.25")})) AS dropped FROM events""",
     "schema_valid": f"""WITH {_DIRTY}

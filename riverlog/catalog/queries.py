@@ -17,7 +17,7 @@ from riverlog.operators import route as routing
 from riverlog.operators.parse import malformed_lines, parse_logs, to_json_lines
 from riverlog.plans.commits import CommitLog
 from riverlog.plans.job import build_job
-from riverlog.plans.storage import scratch_path
+from riverlog.plans.storage import scratch_path, written
 from riverlog.sinks.basic import FileSink, FilteredSink, RetrySink, RouterSink, write_each
 from riverlog.sinks.basic import fan_out as fan_out_to
 from riverlog.sinks.http import HttpSource
@@ -91,6 +91,37 @@ def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def tail_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream follows files that are then replaced by files of other lines, under
+    the same names: it starts again at their first bytes and goes on after them."""
+    folder, out, state = (scratch_path(spark, name) for name in ("rotate", "rotate-out", "rotate-state"))
+    short = X.short_lines(spark, sf_dir)
+    store, path = filesystem(qualified(spark, folder))
+
+    def placed(third: int) -> None:
+        staged = scratch_path(spark, "rotate-next")
+        short.where(F.col("event_id") % 3 == third).select("value").write.text(staged)
+        source, origin = filesystem(qualified(spark, staged))
+        store.create_dir(path)
+        found = [i.path for i in source.get_file_info(fs.FileSelector(origin)) if i.base_name.startswith("part-")]
+        for number, name in enumerate(sorted(found)):
+            store.move(name, f"{path}/{number}.log")
+
+    for third in range(3):
+        placed(third)
+        lines = tail_logs(spark, f"{path}/*.log", "app", start="earliest")
+        query = (
+            parse_logs(lines, now=X.now())
+            .select("source", _number("event_id"), "level")
+            .writeStream.format("parquet")
+            .option("checkpointLocation", state)
+            .trigger(availableNow=True)
+            .start(out)
+        )
+        query.awaitTermination()
+    return spark.read.parquet(out).groupBy("source", "event_id", "level").agg(F.count(F.lit(1)).alias("times"))
+
+
 def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, orders = scratch_path(spark, "events"), scratch_path(spark, "orders")
     X.short_lines(spark, sf_dir).select("value").write.text(events)
@@ -137,8 +168,8 @@ def raw_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(
         "event_id",
         "level",
-        # a line kept as it is is compared with its raw text, a parsed message whole
-        F.when(F.col("message") == F.col("raw"), F.left("message", F.lit(5))).otherwise(F.col("message")).alias("text"),
+        # whole, but for the digits of the floating-point number in a line kept as it is
+        F.regexp_replace("message", '"value":[^,}]*', '"value":').alias("text"),
         (F.col("message") == F.col("raw")).alias("is_line"),
         F.size(FIELDS).cast("bigint").alias("n_fields"),
     )
@@ -182,6 +213,24 @@ def sample_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.sample_logs(X.logs(spark, sf_dir), 0.1, seed=99).select("event_id")
 
 
+def sample_rand_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random sample: no row comes twice, none is made up, and its size is within
+    six standard deviations of the rate; the same seed draws the same rows."""
+    entries = X.logs(spark, sf_dir).select("event_id", "level")
+    drawn, again = (written(predicates.sample_logs(entries, 0.1, seed=99), "drawn") for _ in range(2))
+    total = entries.agg(F.count(F.lit(1)).alias("n"))
+    size = drawn.agg(F.count(F.lit(1)).alias("k"), F.count_distinct("event_id").alias("ids"))
+    strange = drawn.join(X.table(spark, sf_dir, "events").select("event_id"), "event_id", "left_anti").count()
+    different = drawn.exceptAll(again).count()
+    deviation = F.abs(F.col("k") - 0.1 * F.col("n"))
+    return total.join(F.broadcast(size), F.col("k") <= F.col("n")).select(  # a row each
+        (deviation <= 6 * F.sqrt(F.col("n") * 0.09)).alias("within_bounds"),
+        (F.col("ids") == F.col("k")).alias("each_once"),
+        F.lit(strange).cast("bigint").alias("strange"),
+        F.lit(different).cast("bigint").alias("different"),
+    )
+
+
 def sample_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.sample_stats(X.logs(spark, sf_dir), 0.25, seed=7, key="event_id")
 
@@ -633,6 +682,7 @@ QUERIES: dict[str, Query] = {
     "scan_lines": scan_lines,
     "scan_positions": scan_positions,
     "tail_lines": tail_lines,
+    "tail_rotation": tail_rotation,
     "union_sources": union_of_sources,
     "parse_entries": parse_entries,
     "parse_dirty": parse_dirty,
@@ -643,6 +693,7 @@ QUERIES: dict[str, Query] = {
     "min_level": min_level,
     "sample_hash": sample_hash,
     "sample_rand": sample_rand,
+    "sample_rand_bounds": sample_rand_bounds,
     "sample_stats": sample_stats,
     "schema_valid": schema_valid,
     "schema_violations": schema_violations,
