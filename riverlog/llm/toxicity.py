@@ -1,23 +1,28 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary texts.
 
-Both are interpolated bigram models over one vocabulary.  Words, and the stems of
-words (lower case, no final marks, ``STEM`` bytes), are hash buckets; those whose
-counts of texts tell the classes apart best (by the likelihood-ratio statistic, and
-beyond what chance gives) have an entry of their own.  A word without one is taken by its stem, and if that has
-none either it is one of all others: which one is predicted by the same shared
-counts in both models and cancels.  A class's bigram counts back off to
-its continuation counts (in how many contexts a word was seen), and these to
-the continuation counts of both classes together, so a rare expression leans on
-what both have seen.
+Both are interpolated models over one vocabulary.  Words, and the stems of words
+(lower case, no final marks, at most ``STEM`` bytes of whole characters), are hash
+buckets.  Those whose counts of texts tell the classes apart beyond what chance
+gives have an entry and are predicted by bigrams; a word without one is taken by
+its stem if that has one.  A class's bigram counts back off to its continuation
+counts (in how many contexts a word was seen), and these to the continuation counts
+of both classes together, so a rare expression leans on what both have seen.
+Every other word is predicted after its own bucket's counts, its contexts being the
+texts it was seen in: those of the class, discounted, over those of both classes.
+What it says counts as far as words with such counts are more than chance gives:
+an expression that only a few toxic texts have speaks up if there are more of its
+kind than there would be by dealing all words to the classes at random; a word that
+neither class has seen says nothing.  No count is too low to matter.
 
 A text's evidence is the difference of the two log-likelihoods per word.  A
-logistic curve over it and over the root of the length, fitted on labelled texts
-that the models have not counted, makes it a score.
+logistic curve over it and over the root of the length makes it a score.  It is
+fitted on a fold of the labelled texts to models that have not counted that fold;
+then the models count it too.
 
 Counts are gathered from all labelled texts: every task adds up arrays of fixed
 size, which travel compressed in blocks and are summed in two steps.  The model
-is at most VOCABULARY ** 2 cells, whatever the input, and so may be sent to all
-tasks.
+is BUCKETS words and at most VOCABULARY ** 2 cells, whatever the input, and so may
+be sent to all tasks.  Words that share a bucket share its counts.
 
 Results for odd input: a null, empty or blank text has evidence 0, whose score is
 that of the curve there; labelled rows without a text, label or doc_id are not
@@ -31,6 +36,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +46,19 @@ from pyspark.sql import functions as F
 from riverlog.llm.tables import written
 from riverlog.llm.words import Words, mix, slices, words_of
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22  # of words
+STEMS = 1 << 18  # of stems, behind those of words
+SIZE = BUCKETS + STEMS
 VOCABULARY = 1 << 11  # the last entry is that of all other words
 REST = VOCABULARY - 1
 STEM = 6
 # The least statistic of an entry: chance alone reaches it for one bucket in ten million.
 LEAST_RATIO = 28.0
+# Words of more texts than this, without an entry, are not told apart.
+RARE = 64
 MARKS = np.isin(np.arange(256), list(b".,;:!?"))
 FOLDS = 5
-CALIBRATION_FOLD = 4  # learned from by the curve, not by the models
+CALIBRATION_FOLD = 4  # not counted by the model that the curve is fitted to
 BLOCK = 1 << 14
 SALTS = 64
 LOW, HIGH, BINS = -2.0, 2.0, 4000  # of evidence, for the curve
@@ -114,7 +124,7 @@ def summed(parts: DataFrame, length: int) -> np.ndarray:
 
 
 def _bucket(words: Words) -> np.ndarray:
-    return (words.hash >> np.uint64(46)).astype(np.int64)  # 18 bits
+    return (words.hash >> np.uint64(42)).astype(np.int64)  # 22 bits
 
 
 def _stem(words: Words) -> np.ndarray:
@@ -122,9 +132,14 @@ def _stem(words: Words) -> np.ndarray:
     for _ in range(2):
         end -= MARKS[words.data[end - 1]] & (end - 1 > words.start) if len(end) else 0
     packed = np.zeros(len(end), dtype=np.uint64)
+    stop = np.minimum(words.start + STEM, end)
+    for _ in range(3):  # no character is cut
+        if len(stop):
+            inside = words.data[np.minimum(stop, len(words.data) - 1)] & 0xC0 == 0x80
+            stop -= inside & (stop < end) & (stop > words.start)
     for i in range(STEM):
         at = np.minimum(words.start + i, max(len(words.data) - 1, 0))
-        byte = np.where(words.start + i < end, words.data[at] if len(at) else 0, 0).astype(np.uint64)
+        byte = np.where(words.start + i < stop, words.data[at] if len(at) else 0, 0).astype(np.uint64)
         packed |= byte << np.uint64(8 * i)
     return (mix(packed + np.uint64(1)) >> np.uint64(46)).astype(np.int64) + BUCKETS
 
@@ -158,6 +173,7 @@ class Model:
     seen: np.ndarray  # their differences
     context: np.ndarray  # of an unseen bigram: by the entry before
     word: np.ndarray  # and by its own
+    other: np.ndarray  # of a word without an entry, by bucket
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def evidence(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +185,7 @@ class Model:
         if len(self.cells):
             known = self.cells[at] == cell
             value = np.where(known, self.seen[at], value)
+        value = np.where(here == REST, self.other[_bucket(words)], value)
         total = np.append(0.0, np.cumsum(value))
         size = np.diff(words.first)
         return (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(size, 1), size
@@ -203,6 +220,53 @@ def kneser_ney(counts: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.n
     return np.log(p), np.log(weight), np.log(continuation)
 
 
+def believed(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Per word the share of words with counts like its own, or more one-sided,
+    that chance does not explain: 0 to 1.
+
+    Under chance a word in n texts has a binomial number of toxic ones.  The words
+    of each n are compared with that; two deviations are granted to chance."""
+    n = ordinary + toxic
+    share = toxic.sum() / max(n.sum(), 1)
+    weight = np.zeros(len(n))
+    weight[(n > RARE) & (told_apart(np.stack([ordinary, toxic])) >= LEAST_RATIO)] = 1.0
+    for size in range(1, RARE + 1):
+        mine = np.flatnonzero(n == size)
+        if not len(mine) or not 0 < share < 1:
+            continue
+        k = np.arange(size + 1)
+        chance = np.array([comb(size, i) for i in k], dtype=float) * share**k * (1 - share) ** (size - k)
+        found = np.bincount(toxic[mine].astype(np.int64), minlength=size + 1)
+        belief = np.zeros(size + 1)
+        for counts, odds, side in (
+            (np.cumsum(found[::-1])[::-1], np.cumsum(chance[::-1])[::-1], k > size * share),
+            (np.cumsum(found), np.cumsum(chance), k < size * share),
+        ):
+            expected = len(mine) * odds
+            excess = 1 - (expected + 2 * np.sqrt(expected)) / np.maximum(counts, 1)
+            belief[side] = np.maximum(excess, 0)[side]
+        weight[mine] = belief[toxic[mine].astype(np.int64)]
+    return weight
+
+
+def other_words(texts: np.ndarray) -> np.ndarray:
+    """Log-likelihood differences of words by the texts of each class that have
+    them (rows: ordinary, toxic), as far as they are believed.  A class's
+    discounted counts are interpolated with those of both; what the discounts free
+    is the same share of both models, so that a word neither has seen cancels."""
+    both = texts.sum(axis=0).astype(np.float64)
+    shared = both / max(both.sum(), 1.0)
+    logs = []
+    for counts in texts:
+        once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        freed = d * max((counts > 0).sum(), 1) / max(counts.sum(), 1.0)
+        own = np.maximum(counts - d, 0) / max(counts.sum(), 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs.append(np.log1p(own / (freed * shared)))
+    return np.where(both > 0, (logs[1] - logs[0]) * believed(*texts), 0.0).astype(np.float32)
+
+
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic, fold) of the labelled rows that may be learned from."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
@@ -213,24 +277,32 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    spark = docs.sparkSession
+    """The curve of a model that has not counted one fold, on that fold, and the
+    counts of all folds."""
     rows = written(_labelled(docs, labels), "labelled-texts")
-    learned = rows.where(f"fold <> {CALIBRATION_FOLD}")
+    held_back = _calibrated(docs.sparkSession, counted(rows.where(f"fold <> {CALIBRATION_FOLD}")), rows.where(f"fold = {CALIBRATION_FOLD}"))
+    model = counted(rows)
+    model.curve = held_back.curve
+    return model
+
+
+def counted(learned: DataFrame) -> Model:
+    """A model of (text, toxic) rows, without a curve."""
+    spark = learned.sparkSession
 
     def add_words(counts, part):
         words = words_of(part.column("text"), lower=True)
         toxic = np.asarray(part.column("toxic")).astype(np.int64)[words.text]
-        size = 4 * BUCKETS
         for bucket in (_bucket(words), _stem(words)):  # each once a text
-            named = np.unique(words.text * size + bucket + 2 * BUCKETS * toxic)
-            counts += np.bincount(named % size, minlength=size)
+            named = np.unique(words.text * 2 * SIZE + bucket + SIZE * toxic)
+            np.add.at(counts, named % (2 * SIZE), 1)
 
     schema = "block bigint, counts binary"
-    by_class = summed(learned.mapInArrow(_counter(4 * BUCKETS, add_words), schema), 4 * BUCKETS).reshape(2, 2 * BUCKETS)
+    by_class = summed(learned.mapInArrow(_counter(2 * SIZE, add_words), schema), 2 * SIZE).reshape(2, SIZE)
     ratio = told_apart(by_class)
     chosen = np.argsort(-ratio, kind="stable")[:REST]
     chosen = chosen[ratio[chosen] >= LEAST_RATIO]
-    entry = np.full(2 * BUCKETS, REST, dtype=np.int16)
+    entry = np.full(SIZE, REST, dtype=np.int16)
     entry[chosen] = np.arange(len(chosen))
 
     sent = spark.sparkContext.broadcast(entry)
@@ -249,15 +321,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     shared = (types + 0.5) / (types + 0.5).sum()
     ordinary, toxic = kneser_ney(pairs[0], shared), kneser_ney(pairs[1], shared)
     seen = np.flatnonzero((pairs[0] + pairs[1]).ravel() > 0)
-    model = Model(
+    return Model(
         entry,
         seen.astype(np.int64),
         (toxic[0] - ordinary[0]).ravel()[seen].astype(np.float32),
         (toxic[1] - ordinary[1]).astype(np.float32),
         (toxic[2] - ordinary[2]).astype(np.float32),
+        other_words(by_class[:, :BUCKETS]),
     )
-    del pairs, ordinary, toxic
-    return _calibrated(spark, model, rows.where(f"fold = {CALIBRATION_FOLD}"))
 
 
 def _calibrated(spark: SparkSession, model: Model, rows: DataFrame) -> Model:
@@ -274,10 +345,10 @@ def _calibrated(spark: SparkSession, model: Model, rows: DataFrame) -> Model:
                     names=["at", "length", "toxic"],
                 )
 
-    counted = rows.mapInArrow(binned, "at bigint, length bigint, toxic bigint").groupBy("at", "length", "toxic").count().collect()
-    if not counted:
+    bins = rows.mapInArrow(binned, "at bigint, length bigint, toxic bigint").groupBy("at", "length", "toxic").count().collect()
+    if not bins:
         return model
-    at, length, y, n = (np.array(c, dtype=float) for c in zip(*counted, strict=True))
+    at, length, y, n = (np.array(c, dtype=float) for c in zip(*bins, strict=True))
     share = float((y * n).sum() / n.sum())
     if share in (0.0, 1.0):
         model.curve = (30.0 if share else -30.0, 0.0, 0.0)
