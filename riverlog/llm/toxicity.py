@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from riverlog.llm.tables import written
 from riverlog.llm.words import Words, mix, slices, words_of
 
-BUCKETS = 1 << 22  # of words
+BUCKETS = 1 << 21  # of words
 STEMS = 1 << 18  # of stems, behind those of words
 SIZE = BUCKETS + STEMS
 VOCABULARY = 1 << 11  # the last entry is that of all other words
@@ -124,7 +124,7 @@ def summed(parts: DataFrame, length: int) -> np.ndarray:
 
 
 def _bucket(words: Words) -> np.ndarray:
-    return (words.hash >> np.uint64(42)).astype(np.int64)  # 22 bits
+    return (words.hash >> np.uint64(43)).astype(np.int64)  # 21 bits
 
 
 def _stem(words: Words) -> np.ndarray:
@@ -299,9 +299,14 @@ def counted(learned: DataFrame) -> Model:
 
     schema = "block bigint, counts binary"
     by_class = summed(learned.mapInArrow(_counter(2 * SIZE, add_words), schema), 2 * SIZE).reshape(2, SIZE)
-    ratio = told_apart(by_class)
-    chosen = np.argsort(-ratio, kind="stable")[:REST]
-    chosen = chosen[ratio[chosen] >= LEAST_RATIO]
+    used = np.flatnonzero(by_class.any(axis=0))  # few at a time in the driver's memory
+    ratio = told_apart(by_class[:, used])
+    best = np.argsort(-ratio, kind="stable")[:REST]
+    chosen = used[best[ratio[best] >= LEAST_RATIO]]
+    words = used[used < BUCKETS]
+    other = np.zeros(BUCKETS, dtype=np.float32)
+    other[words] = other_words(by_class[:, words])
+    del by_class, ratio
     entry = np.full(SIZE, REST, dtype=np.int16)
     entry[chosen] = np.arange(len(chosen))
 
@@ -327,7 +332,7 @@ def counted(learned: DataFrame) -> Model:
         (toxic[0] - ordinary[0]).ravel()[seen].astype(np.float32),
         (toxic[1] - ordinary[1]).astype(np.float32),
         (toxic[2] - ordinary[2]).astype(np.float32),
-        other_words(by_class[:, :BUCKETS]),
+        other,
     )
 
 
