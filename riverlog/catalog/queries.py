@@ -17,11 +17,11 @@ from riverlog.operators import route as routing
 from riverlog.operators.parse import malformed_lines, parse_logs, to_json_lines
 from riverlog.plans.commits import CommitLog
 from riverlog.plans.job import build_job
-from riverlog.plans.storage import scratch_path, written
+from riverlog.plans.storage import filesystem, qualified, scratch_path, written
 from riverlog.sinks.basic import FileSink, FilteredSink, RetrySink, RouterSink, write_each
 from riverlog.sinks.basic import fan_out as fan_out_to
 from riverlog.sinks.http import HttpSource
-from riverlog.sinks.outlets import filesystem, qualified, read_dead_letters
+from riverlog.sinks.outlets import read_dead_letters
 from riverlog.sinks.retry import RetryPolicy
 from riverlog.sources.files import Source, read_logs, union_sources
 from riverlog.sources.tail import tail_logs

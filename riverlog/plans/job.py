@@ -28,6 +28,7 @@ from riverlog.model import DEFAULT_CAPACITY, Route, RuleError, require
 from riverlog.operators.parse import parse_logs
 from riverlog.operators.predicates import keep_expression
 from riverlog.plans.commits import CommitLog, undelivered
+from riverlog.plans.storage import qualified
 from riverlog.sinks.basic import (
     BufferedSink,
     ConsoleSink,
@@ -145,6 +146,7 @@ class Job:
     sources: tuple[Source, ...]
     sinks: tuple[Sink, ...]
     raw: bool = False
+    max_bytes: int | None = None  # of each source in a micro-batch
 
     def entries(self, spark: SparkSession, with_position: bool = False) -> tuple[DataFrame, list[Source]]:
         """All entries of all sources, and the sources that could not be opened."""
@@ -231,7 +233,8 @@ class Job:
             spark.streams.addListener(counters)
         parts = []
         for number, source in enumerate(self.sources):
-            lines = tail_logs(spark, source.path, source.label, start)
+            places = f"{qualified(spark, checkpoint)}/places/{number}.json"
+            lines = tail_logs(spark, source.path, source.label, start, max_bytes=self.max_bytes, places=places)
             lines = lines if counters is None else counters.read(lines, number)
             entries = parse_logs(lines, raw=self.raw).withColumn(ORIGIN, F.lit(source.label or source.path))
             parts.append(entries if counters is None else counters.parsed(entries, number))
@@ -282,7 +285,9 @@ def build_job(
     outputs = spec.get("sinks") or ()
     require(len(outputs) > 0, "config must define at least one sink")
     sinks = [build_sink(entry, f"sink[{position}]", context) for position, entry in enumerate(outputs)]
-    return Job(tuple(sources), tuple(sinks), bool(spec.get("raw", False)))
+    max_bytes = spec.get("max_bytes")
+    require(max_bytes is None or max_bytes > 0, "config: max_bytes must be above zero")
+    return Job(tuple(sources), tuple(sinks), bool(spec.get("raw", False)), max_bytes)
 
 
 __all__ = ["Job", "Post", "SinkContext", "build_job", "build_sink"]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource
 
 from riverlog.model import require
+from riverlog.plans.storage import filesystem
 from riverlog.sinks.outlets import (
     Branch,
     HttpOutlet,
@@ -35,7 +36,6 @@ from riverlog.sinks.outlets import (
     _Writer,
     deliver,
     failure_text,
-    filesystem,
 )
 from riverlog.sinks.retry import RetryPolicy
 

@@ -45,7 +45,7 @@ from pyspark.sql.datasource import (
 
 from riverlog.functions.text import entry_json
 from riverlog.model import require
-from riverlog.plans.storage import scratch_path
+from riverlog.plans.storage import filesystem, qualified, scratch_path
 from riverlog.sinks.retry import RetriesExhausted, RetryPolicy
 
 # Characters a partition folder must not hold, as Spark reads them
@@ -62,21 +62,6 @@ DEAD_LETTER = "sink string, entry string, error string, attempts int"
 # -- files ------------------------------------------------------------------
 
 
-def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The store of a path and the path in it."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with the store that Spark would take for it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
-
-
 def folder_of(names: Sequence[str], values: Sequence[str | None]) -> str:
     """A partition folder as Spark's readers know it."""
     parts = [

@@ -100,6 +100,70 @@ def test_ranges_cover_every_line_once(folder, size):
     assert tail.last_line_end(path, 0) == 0
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 10_000])
+def test_ranges_by_line_breaks_cover_every_line_once(folder, size):
+    rng = random.Random(size)
+    lines = ["x" * rng.randrange(20) for _ in range(50)]
+    path = folder + "/a.log"
+    append(path, "".join(line + "\n" for line in lines) + "unfinished")
+    cuts = sorted(rng.sample(range(os.path.getsize(path)), 4))
+    found = []
+    for begin, end in zip([0, *cuts], [*cuts, os.path.getsize(path)]):
+        for part in tail.split_ranges(path, begin, end, size, ended=True):
+            for batch in tail.read_range(part):
+                found += list(zip(batch.column("value").to_pylist(), batch.column("pos").to_pylist()))
+    places = [sum(len(line) + 1 for line in lines[:n]) for n in range(50)]
+    assert found == list(zip(lines, places))
+
+
+def test_budget_is_dealt_in_turns():
+    sizes = {f"f{number:05d}": 100 + number for number in range(10_000)}
+    sizes["f00500"] = 10**9  # one file always has more
+    left, turn, rounds, served = dict(sizes), "", 0, dict.fromkeys(sizes, 0)
+    budget = 8 << 20
+    while sum(size for path, size in left.items() if path != "f00500"):
+        given, turn = tail.dealt(left, budget, turn)
+        assert 0 < sum(given.values()) <= budget
+        for path, size in given.items():
+            left[path] -= size
+            served[path] += 1
+        left["f00500"] = 10**9
+        rounds += 1
+        assert rounds <= 20
+    assert min(served.values()) >= 1
+    # a budget below a quantum for each: all are served before one is served again
+    order, turn = [], ""
+    for _ in range(6):
+        given, turn = tail.dealt(dict.fromkeys("abc", 10 * tail.QUANTUM), tail.QUANTUM, turn)
+        order += given
+    assert order == ["a", "b", "c", "a", "b", "c"]
+    assert tail.dealt({"a": 0}, 100, "") == ({}, "")
+    parts = tail.grouped([tail.ByteRange("p", 0, 0, size) for size in (3, 4, 90, 200, 1)], 100)
+    assert [len(part.ranges) if isinstance(part, tail.RangeGroup) else 1 for part in parts] == [3, 1, 1]
+
+
+def test_bounded_batches_go_on_exactly_after_restarts(spark, folder):
+    for number in range(4):
+        append(f"{folder}/{number}.log", "".join(f"{number}-{line}\n" for line in range(30 * (number + 1))))
+    budget, sizes = 200, []
+    for run in range(40):
+        lines = tail.tail_logs(
+            spark, folder + "/*.log", "x", start="earliest", max_bytes=budget, places=folder + "/state/places.json"
+        )
+        drain(spark, lines, folder + "/out", folder + "/state")
+        rows = spark.read.schema("value string, source string, file string, pos bigint").parquet(folder + "/out").collect()
+        sizes.append(sum(len(row["value"]) + 1 for row in rows))
+        if run == 5:
+            append(folder + "/4.log", "late\n")
+        if len(rows) == 301:
+            break
+    assert sorted(row["value"] for row in rows) == sorted(
+        [f"{number}-{line}" for number in range(4) for line in range(30 * (number + 1))] + ["late"]
+    )
+    # a batch may finish a line that an earlier one began
+    assert max(b - a for a, b in zip([0, *sizes], sizes)) <= budget + 10 and len(sizes) > 5
+
+
 def read_all(ranges):
     return [line for part in ranges for batch in tail.read_range(part) for line in batch.column("value").to_pylist()]
 
