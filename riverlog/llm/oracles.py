@@ -67,4 +67,61 @@ FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
 QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 10
 """
 
-ORACLES: dict[str, str] = {"op12_prefix_trie": OP12, "op13_hard_negatives": OP13}
+OP4 = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs
+), windows AS (
+  SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM split WHERE len(words) >= 8)
+), twice AS (
+  SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, w) > 1
+), covered AS (
+  SELECT rid, sum(step)::BIGINT AS n
+  FROM (SELECT rid, least(8, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i), 8)) AS step FROM twice) GROUP BY rid
+), measured AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, length(t) - length(replace(t, '!', '')) AS n_exclaims,
+    coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN covered USING (rid)
+), ruled AS (
+  SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN 10 * n_exclaims > 5 * n_words THEN 32 ELSE 0 END AS bits
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept,
+  bits::BIGINT AS fail_bits
+FROM ruled
+"""
+
+# The template: <s>role, a line break, text</s>; control strings are broken by \-.
+OP5 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), safe AS (
+  SELECT *, regexp_replace(replace(role, '\', '\\'), '(<)(/?s>|</?SYS>>|\|)|(\[)(/?INST\])', '\1\3\\-\2\4', 'g') AS r,
+    regexp_replace(replace(text, '\', '\\'), '(<)(/?s>|</?SYS>>|\|)|(\[)(/?INST\])', '\1\3\\-\2\4', 'g') AS x
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<s>' || replace(r, chr(10), '\n') || chr(10) || x || '</s>'))::BIGINT AS formatted_chars
+FROM safe GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": OP4,
+    "op5_chat_tree": OP5,
+    "op12_prefix_trie": OP12,
+    "op13_hard_negatives": OP13,
+}
