@@ -14,7 +14,7 @@ from riverlog.functions.values import field_text
 from riverlog.model import FIELDS, FieldRule, MatchRule, RedactRule, RenameRule, Route
 from riverlog.operators import batching, buffer, dedup, envelope, multiline, observe, predicates, rate, rewrite, watermark
 from riverlog.operators import route as routing
-from riverlog.operators.parse import malformed_lines, parse_logs, to_json_lines
+from riverlog.operators.parse import judged_lines, malformed_lines, parse_logs, to_json_lines
 from riverlog.plans.commits import CommitLog
 from riverlog.plans.job import build_job
 from riverlog.plans.storage import filesystem, qualified, scratch_path, written
@@ -609,13 +609,11 @@ def spec_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sinks: one takes info and above, one is down and would take errors."""
-    lines = X.dirty_lines(spark, sf_dir)
-    good = parse_logs(lines, now=X.now()).select("source", "level", F.lit(True).alias("ok"))
-    bad = malformed_lines(lines).select("source", F.lit("").alias("level"), F.lit(False).alias("ok"))
+    judged = judged_lines(X.dirty_lines(spark, sf_dir), now=X.now())
     level = F.col("level")
     return observe.pipeline_counters(
-        good.unionByName(bad),
-        F.col("ok"),
+        judged,
+        F.col("reason").isNull(),
         level.isin("info", "warn", "error").cast("bigint"),
         (level == "error").cast("bigint"),
     )

@@ -107,21 +107,33 @@ def parse_logs(
     ``now`` replaces the processing time given to entries without a usable
     timestamp.  Columns other than ``value_col`` pass through.
     """
+    documents = _with_document(df, value_col)
+    if not raw:
+        documents = documents.where(F.col("_doc").isNotNull())
+    return _entries(documents, df.columns, value_col, source, now, raw)
+
+
+def _entries(
+    documents: DataFrame,
+    columns: Sequence[str],
+    value_col: str,
+    source: str | Column | None,
+    now: Column | None,
+    raw: bool,
+) -> DataFrame:
+    """Entries of decoded lines, with those of ``columns`` that pass through."""
     stamp = F.current_timestamp() if now is None else now
     if source is None:
-        if "source" not in df.columns:
+        if "source" not in columns:
             raise RuleError("parse: give a source label, or an input column named source")
         label = F.col("source")
     else:
         label = F.lit(source) if isinstance(source, str) else source
 
-    documents = _with_document(df, value_col)
     line = F.col(value_col)
     good = F.col("_doc").isNotNull()
-    if not raw:
-        documents = documents.where(good)
     message = F.coalesce(_first_string(MESSAGE_KEYS), F.lit(""))
-    passthrough = [name for name in df.columns if name not in (value_col, "source")]
+    passthrough = [name for name in columns if name not in (value_col, "source")]
     return documents.select(
         _event_time(stamp).alias("timestamp"),
         F.coalesce(_first_string(LEVEL_KEYS), F.lit("")).alias("level"),
@@ -133,24 +145,40 @@ def parse_logs(
     )
 
 
-def malformed_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
-    """The lines :func:`parse_logs` drops, with ``raw`` and a ``reason``."""
-    line = F.col(value_col)
-    documents = _with_document(df, value_col).where(F.col("_doc").isNull()).drop("_rest")
+def _reason(line: Column) -> Column:
+    """Why a malformed line is none that can be parsed."""
     single_value = F.size(_strict(line, "variant")) == 2
-    reason = (
+    return (
         F.when(F.coalesce(line, F.lit("")) == "", EMPTY_LINE)
         .when(F.coalesce(single_value, F.lit(False)), NOT_AN_OBJECT)
         .otherwise(INVALID_JSON)
     )
+
+
+def malformed_lines(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """The lines :func:`parse_logs` drops, with ``raw`` and a ``reason``."""
+    line = F.col(value_col)
+    documents = _with_document(df, value_col).where(F.col("_doc").isNull()).drop("_rest")
     passthrough = [name for name in df.columns if name != value_col]
-    return documents.select(line.alias(RAW), reason.alias("reason"), *passthrough)
+    return documents.select(line.alias(RAW), _reason(line).alias("reason"), *passthrough)
+
+
+def judged_lines(
+    df: DataFrame, value_col: str = "value", source: str | Column | None = None, now: Column | None = None
+) -> DataFrame:
+    """All lines as entries, with a ``reason`` where a line is malformed: its
+    message is the line itself, as with ``raw=True``.  A line is decoded once."""
+    judged = _with_document(df, value_col)
+    line = F.col(value_col)
+    reason = F.when(F.col("_doc").isNull(), _reason(line))
+    return _entries(judged.withColumn("reason", reason), [*df.columns, "reason"], value_col, source, now, True)
 
 
 def split_malformed(
     df: DataFrame, value_col: str = "value", source: str | Column | None = None, now: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(entries, malformed)``: two plans over the same lines."""
+    """``(entries, malformed)``: two plans over the same lines, also of a stream.
+    To use both of a table, write :func:`judged_lines` once and filter that."""
     return parse_logs(df, value_col, source, now), malformed_lines(df, value_col)
 
 

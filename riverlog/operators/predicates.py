@@ -110,5 +110,7 @@ def schema_violations(df: DataFrame, rules: Sequence[FieldRule]) -> DataFrame:
 
 
 def validate(df: DataFrame, rules: Sequence[FieldRule]) -> tuple[DataFrame, DataFrame]:
-    """``(valid, invalid)``; invalid entries carry the first ``violation``."""
+    """``(valid, invalid)``; invalid entries carry the first ``violation``.  Two
+    plans over the entries, also of a stream: to use both of a table, add
+    ``violation`` to it, write it once and filter that."""
     return valid_entries(df, rules), schema_violations(df, rules)

@@ -137,3 +137,21 @@ def test_line_is_decoded_once(make):
     df = min_level(make('{"level":"warn"}'), "warn")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_lines_are_judged_once(spark):
+    from riverlog.operators.parse import judged_lines, malformed_lines, parse_logs
+
+    rows = [('{"msg":"fine","k":[1]}', "s", 0), ("", "s", 1), ("nonsense", "t", 2), ("[7]", "t", 3), ("null", "t", 4), (None, "u", 5)]
+    lines = spark.createDataFrame(rows, "value string, source string, pos bigint")
+    now = F.lit("2024-01-01T00:00:00Z").cast("timestamp")
+    judged = {row["pos"]: row for row in judged_lines(lines, now=now).collect()}
+    assert {pos: row["reason"] for pos, row in judged.items()} == {
+        0: None, 1: "empty line", 2: "invalid JSON", 3: "not an object", 4: None, 5: "empty line",
+    }
+    assert judged[2]["message"] == "nonsense" and judged[0]["message"] == "fine"
+    keys = ("pos", "message", "source", "level", "raw")
+    good = {tuple(row[k] for k in keys) for row in judged.values() if row["reason"] is None}
+    assert good == {tuple(row[k] for k in keys) for row in parse_logs(lines, now=now).collect()}
+    bad = {(row["pos"], row["reason"], row["raw"]) for row in judged.values() if row["reason"] is not None}
+    assert bad == {(row["pos"], row["reason"], row["raw"]) for row in malformed_lines(lines).collect()}
