@@ -48,9 +48,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = rows.groupBy(F.col("bits").alias("other")).agg(F.count("*").alias("n"))
     near = fingerprints.neighbours(rows.where("doc_id % 20 = 0"), held.withColumnRenamed("other", "bits"))
     near = near.join(held, "other").groupBy("bits").agg(F.sum("n").alias("near"))
-    rows = rows.withColumn("asked", F.when(F.col("doc_id") % 20 == 0, F.col("bits")))
-    near = near.withColumnRenamed("bits", "asked")
-    return rows.join(near, "asked", "left").drop("asked", "bits").withColumnRenamed("near", "n_near")
+    # only the rows that were asked for meet the counts; the rest has none
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    counted = rows.where(asked).join(near.withColumnRenamed("near", "n_near"), "bits")
+    return counted.unionByName(rows.where(~asked), allowMissingColumns=True).drop("bits")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
