@@ -112,16 +112,18 @@ def edited_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     document of a group's last.
 
     Neighbours of one id group get each other's texts by a window, so texts are
-    shuffled once; only for the last row of a group, one in 2**ID_BITS of dense
-    ids, the text is fetched by a join.
+    shuffled once.  The last row of a group needs the first text of the next group;
+    first texts, one in 2**ID_BITS of dense ids, are found in the map tasks.
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("group", F.shiftright("doc_id", ID_BITS))
-    ends = written(texts.groupBy("group").agg(F.max("doc_id").alias("high")), "id-groups")
+    # the greatest doc_id, and of its rows the first text
+    head = F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "text")).alias("head")
+    ends = written(texts.groupBy("group").agg(F.max("doc_id").alias("high"), head), "id-groups")
     names = next_ids(ends.select(F.col("group").alias("id")))
-    gives = names.join(ends.select(F.col("group").alias("next_id"), "high"), "next_id").select(F.col("id").alias("group"), "high")
-    given = texts.select(F.col("doc_id").alias("high"), F.col("text").alias("given")).join(gives, "high")
-    given = given.groupBy("group").agg(F.min("given").alias("given"))
+    heads = ends.select(F.col("group").alias("next_id"), "high", F.col("head.text").alias("given"))
+    gives = written(names.join(heads, "next_id").select(F.col("id").alias("group"), "high", "given"), "next-groups")
+    given = gives.select("group", "given")
     order = W.partitionBy("group").orderBy(F.col("doc_id").desc(), "text")
     after = F.coalesce(F.lead("text").over(order), F.col("given"))
     half = F.floor(F.length("text") / 2).cast("int")
@@ -129,7 +131,7 @@ def edited_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a next document that is too short gives all it has
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), taken)
     rows = texts.join(given, "group", "left").withColumns({"after": after, "nth": F.row_number().over(order)})
-    return rows.select("group", "nth", "doc_id", "text", edited.alias("edited")), gives
+    return rows.select("group", "nth", "doc_id", "text", edited.alias("edited")), gives.select("group", "high")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
