@@ -356,14 +356,17 @@ class _TailReader(DataSourceStreamReader):
         return dict(ends)
 
     def initialOffset(self) -> dict:
-        # a run to the end of what is there asks for that end first
-        if self.served is None or self.begins is None:
+        if self.begins is None:
             self.begins = self._ends() if self.options.get("start") == "latest" else {}
+        if self.served is None:
             self.served = dict(self.begins)
         return {"files": dict(self.begins)}
 
     def latestOffset(self) -> dict:
         ends = self._ends()
+        if self.begins is None and self.options.get("start") == "latest":
+            # a run to the end of what is there asks for that end first
+            self.begins = dict(ends)
         if self.budget is None:
             return {"files": ends}
         return self._bounded(ends)
