@@ -467,7 +467,7 @@ def http_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("e.fields.user_id").alias("users"),
         F.max("e.message").alias("last_message"),
     )
-    return found.withColumns({name: F.lit(totals[name]) for name in ("delivered", "failed")})
+    return found.withColumns({name: F.lit(totals[name]).cast("bigint") for name in ("delivered", "failed")})
 
 
 def _blocked(spark: SparkSession) -> str:
