@@ -398,8 +398,20 @@ def rate_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "source", "release_at", "delay")
 
 
+def _bigint_if_all_fit(df: DataFrame, name: str) -> DataFrame:
+    """Whole numbers of up to 38 digits as ``bigint`` where each of them is one,
+    left as they are where one is not."""
+    df = written(df, name)
+    small = F.col(name).try_cast("bigint")
+    wide = df.where(F.col(name).isNotNull() & small.isNull()).limit(1).count()
+    return df if wide else df.withColumn(name, small)
+
+
 def rate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate.rate_stats(rate.shape_rate(X.logs(spark, sf_dir), 0.001, 2, order=ARRIVAL))
+    """``total_delay`` is a ``bigint``, as in the SQL; where a total has more digits
+    than that holds (and the SQL fails), all are ``decimal(38,0)``."""
+    stats = rate.rate_stats(rate.shape_rate(X.logs(spark, sf_dir), 0.001, 2, order=ARRIVAL))
+    return _bigint_if_all_fit(stats, "total_delay")
 
 
 # -- routing and delivery ---------------------------------------------------

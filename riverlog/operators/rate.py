@@ -65,12 +65,16 @@ def shape_rate(
 
 
 def rate_stats(shaped: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
-    """Per key: entries released at once, delayed and never, with delays."""
+    """Per key: entries released at once, delayed and never, with delays.
+
+    A rate below that of the arrivals makes delays grow with the position, and
+    their total with its square: the total is a whole number of up to 38 digits.
+    """
     return shaped.groupBy(*by).agg(
         F.count(F.lit(1)).alias("entries"),
         F.count_if(F.col("delay") == 0).alias("immediate"),
         F.count_if(F.col("delay") > 0).alias("delayed"),
         F.count_if(F.col("release_at").isNull()).alias("never"),
         F.max("delay").alias("max_delay"),
-        F.sum("delay").alias("total_delay"),
+        F.sum(F.col("delay").cast("decimal(20,0)")).cast("decimal(38,0)").alias("total_delay"),
     )

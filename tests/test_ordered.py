@@ -339,3 +339,18 @@ def test_batches_keep_every_row_of_a_tie(spark):
     df = spark.createDataFrame(rows, "source string, ts string, n int").withColumn("timestamp", F.col("ts").cast("timestamp"))
     out = assign_batches(df, 3, by=["source"], interval=5.0, order=("timestamp",))
     assert sorted(r["n"] for r in out.collect()) == [1, 2, 3, 4]
+
+
+def test_totals_of_delays_beyond_long(spark):
+    from riverlog.catalog.queries import _bigint_if_all_fit
+
+    rows = [("a", 0, 0), ("a", 2**62, 2**62), ("a", 2**62 + 1, 2**62 + 1), ("a", None, None), ("b", None, None), ("c", 7, 7)]
+    shaped = spark.createDataFrame(rows, "source string, release_at bigint, delay bigint")
+    stats = rate_stats(shaped)
+    got = {r["source"]: (r["entries"], r["never"], r["max_delay"], r["total_delay"]) for r in stats.collect()}
+    assert got == {"a": (4, 1, 2**62 + 1, 2**63 + 1), "b": (1, 1, None, None), "c": (1, 0, 7, 7)}
+    kept = _bigint_if_all_fit(stats, "total_delay")
+    assert {r["source"]: r["total_delay"] for r in kept.collect()} == {"a": 2**63 + 1, "b": None, "c": 7}
+    small = _bigint_if_all_fit(stats.where("source <> 'a'"), "total_delay")
+    assert dict(small.dtypes)["total_delay"] == "bigint"
+    assert {r["source"]: r["total_delay"] for r in small.collect()} == {"b": None, "c": 7}
