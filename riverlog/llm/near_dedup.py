@@ -14,9 +14,9 @@ compared with its buckets' smallest members, the hubs, and verified with the
 hub it agrees with most; so a group of near copies becomes one component by as
 many comparisons as it has members.  Then only pairs of one bucket that are in
 different components so far are looked at, in blocks of bounded size.  What may
-still be linked falls into clusters, every member by its own possible links; a
-block of a bucket emits a spanning forest of them, never the pairs.  The texts of a cluster are dealt
-into blocks again, pairs of different components are decided on the full sets
+still be linked falls into clusters, every member by its own possible links: first
+by one with a hub each, then a block of a bucket emits a spanning forest of those
+between clusters so far, never the pairs.  The texts of a cluster are dealt into blocks again, pairs of different components are decided on the full sets
 there, and the links found, a forest too, complete the components.  So every
 candidate pair is either in one component anyway or was decided: components are
 exact up to the two stated probabilities.
@@ -202,11 +202,11 @@ def _forest(node: np.ndarray, label: np.ndarray, comp: np.ndarray, chunk: np.nda
 
 
 def _bucket_block(table: pa.Table, least: list[int]) -> pa.RecordBatch:
-    node, comp, chunk = (np.asarray(table.column(n)) for n in ("node", "comp", "chunk"))
+    node, label, comp, chunk = (np.asarray(table.column(n)) for n in ("node", "label", "comp", "chunk"))
     column = table.column("sig").combine_chunks()
     matrix = _matrix(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
     # a possible link is not a decided one: it must not stand for those of its components' other members
-    return _forest(node, node, comp, chunk, lambda row, others: _agreeing(matrix, row, others, least))
+    return _forest(node, label, comp, chunk, lambda row, others: _agreeing(matrix, row, others, least))
 
 
 def _cluster_block(table: pa.Table, least: list[int]) -> pa.RecordBatch:
@@ -341,13 +341,17 @@ def link_components(docs: DataFrame, miss: float = MISS) -> DataFrame:
     first = written(roots(links), "first-components")
 
     comp = F.coalesce("component", "node")
-    rest = shared.where("n > 2").join(first, "node", "left").select("band", "node", "hub", comp.alias("comp"))
-    mixed = rest.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a < b")
+    late = scored.select("u", "v").join(first.toDF("u", "cu"), "u", "left").join(first.toDF("v", "cv"), "v", "left")
+    late = written(late.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v"), "possible-links")
+    # members that possible links to hubs join are in one cluster already
+    hung = written(roots(late.groupBy("u").agg(F.min("v").alias("v"))), "first-clusters")
+    rest = shared.where("n > 2").join(first, "node", "left").join(hung.toDF("node", "label"), "node", "left")
+    rest = rest.select("band", "node", "hub", comp.alias("comp"), F.coalesce("label", "node").alias("label"))
+    spans = rest.groupBy("band").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("comp", "label")], F.count("*").alias("m"))
+    mixed = spans.where("min_comp < max_comp AND min_label < max_label")
     rest = rest.where("node <> hub").join(mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "band")
     blocks = _dealt(rest.join(sigs, "node"), "band").mapInArrow(_block_rows("band", _bucket_block, least), "u bigint, v bigint")
-    late = scored.select("u", "v").join(first.toDF("u", "cu"), "u", "left").join(first.toDF("v", "cv"), "v", "left")
-    late = late.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    clusters = components(blocks.union(late).distinct()).withColumnRenamed("component", "cluster")
+    clusters = rejoined(hung, blocks.union(late)).withColumnRenamed("component", "cluster")
     clusters = clusters.join(nodes.select("node", "n_shingles"), "node").join(first, "node", "left")
     clusters = clusters.select("node", "cluster", "n_shingles", comp.alias("comp"))
     sizes = clusters.groupBy("cluster").agg(
