@@ -3,7 +3,7 @@
 import random
 
 from riverlog.llm import html_extract
-from riverlog.llm.html_extract import roles, violations
+from riverlog.llm.html_extract import Classes, roles, violations
 
 # Odd tokens are tags.
 A, B, C, D, E, X, Y = 11, 13, 15, 17, 19, 21, 23
@@ -46,25 +46,25 @@ def test_a_class_in_two_places_is_not_nested(spark):
 
 
 def test_order_of_a_page():
-    assert violations([A, B, C, A, B, C], [[A, B, C]])[:2] == (set(), set())
-    assert violations([A, X, B, C, D], [[A, B, C, D, X]])[0] == {X}
-    assert violations([A, B, A, C, B, C], [[A, B, C]])[0]
+    assert violations([A, B, C, A, B, C], Classes([[A, B, C]]))[:2] == (set(), set())
+    assert violations([A, X, B, C, D], Classes([[A, B, C, D, X]]))[0] == {X}
+    assert violations([A, B, A, C, B, C], Classes([[A, B, C]]))[0]
 
 
 def test_spans_that_cross_and_places_around():
-    assert violations([A, C, B, D], [[A, B], [C, D]])[1] == {1}
-    assert violations([C, A, D, B], [[A, B], [C, D]])[1] == {1}
-    assert violations([A, C, D, C, D, B], [[A, B], [C, D]])[1] == set()
-    around = violations([A, C, D, B, E, C, D, X], [[A, B, E, X], [C, D]])[2]
+    assert violations([A, C, B, D], Classes([[A, B], [C, D]]))[1] == {1}
+    assert violations([C, A, D, B], Classes([[A, B], [C, D]]))[1] == {1}
+    assert violations([A, C, D, C, D, B], Classes([[A, B], [C, D]]))[1] == set()
+    around = violations([A, C, D, B, E, C, D, X], Classes([[A, B, E, X], [C, D]]))[2]
     assert len(around[0]) == 1 and len(around[1]) == 2
 
 
 def test_roles_by_place():
-    found = roles([Y, A, Y, B, Y, C, Y], [[[A, B, C]]])
+    found = roles([Y, A, Y, B, Y, C, Y], [Classes([[A, B, C]])])
     assert (found[0], found[6]) == (Y, Y) and len({found[0], found[2], found[4]}) == 3 and all(role & 1 for role in found)
-    text = roles([A, 4, B], [[[A, B]]])[1]
+    text = roles([A, 4, B], [Classes([[A, B]])])[1]
     assert text != 4 and text & 1 == 0
-    assert roles([B, 4, A, 4], [[[A, B]]])[1] == 4  # a page that is not built so
+    assert roles([B, 4, A, 4], [Classes([[A, B]])])[1] == 4  # a page that is not built so
 
 
 def test_what_is_left_of_random_classes_is_ordered_and_nested():
@@ -75,7 +75,7 @@ def test_what_is_left_of_random_classes_is_ordered_and_nested():
         tokens = [role for known in classes for role in known] * times
         if draw.random() < 0.7:
             draw.shuffle(tokens)
-        moved, crossed, _ = violations(tokens, classes)
+        moved, crossed, _ = violations(tokens, Classes(classes))
         kept = [[role for role in known if role not in moved] for c, known in enumerate(classes) if c not in crossed]
         spans = []
         for known in (k for k in kept if len(k) > 1):
